@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardwell.llm import mixing, neardup, packing, toxicity
+from shardwell.llm import mixing, neardup, packing, passages, toxicity
 from shardwell.llm._common import cut, table
 
 
@@ -22,6 +22,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return neardup.keep_one(docs)
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut out; documents of which nothing is left go."""
+    return passages.remove_repeats(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.repeat_documents(docs)
@@ -32,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("near-duplicates", drop_near_copies), ("mixing", mix), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("near-duplicates", drop_near_copies), ("repeated passages", cut_repeats), ("mixing", mix), ("packing", pack)]
 
 #: Model training, alignment and packing are beyond SQL; the tests hold ``run`` against a brute-force version.
 ORACLE_SQL = None
@@ -41,5 +46,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwell.llm import ann, cleaning, extraction, mixing, neardup, packing, quality, toxicity
+from shardwell.llm import ann, cleaning, extraction, katz, mixing, neardup, packing, passages, quality, toxicity
 from shardwell.llm._common import table
 
 
@@ -38,6 +38,14 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op9_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cleaning.clean(table(spark, sf_dir, "documents"), with_text=False)
     return out.drop("lines_failed")
@@ -48,7 +56,18 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_sources, op2_pack_best_fit, op3_toxicity, op4_extract_main_text, op5_quality_rules, op6_near_duplicates, op9_clean_lines, op10_nearest_vectors]
+    found = [
+        op1_mix_sources,
+        op2_pack_best_fit,
+        op3_toxicity,
+        op4_extract_main_text,
+        op5_quality_rules,
+        op6_near_duplicates,
+        op7_repeated_passages,
+        op8_katz_scores,
+        op9_clean_lines,
+        op10_nearest_vectors,
+    ]
     return {f.__name__: f for f in found}
 
 
