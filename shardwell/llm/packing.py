@@ -9,6 +9,7 @@ piece its rank and look its place up.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -21,7 +22,7 @@ from shardwell.llm._common import cut, map_texts
 #: Pieces of one length that are ranked in one window group.
 GROUP = 5000
 #: Distinct words whose ids a worker keeps at once.
-WORDS = 300_000
+WORDS = 1_000_000
 
 
 def word_bpe() -> str:
@@ -32,26 +33,47 @@ def word_bpe() -> str:
 
 
 def encoder(path: str):
-    """Function from texts to the bytes of their ids (little-endian unsigned 32-bit).
+    """Function from texts (UTF-8) to the bytes of their ids (little-endian unsigned 32-bit).
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its words in turn; each distinct word
-    is encoded once while it stays in the cache.
+    The tokenizer lowers case, drops white space and never joins what it separates, and it cuts between letters and ASCII signs.  So a
+    text's ids are those of its words in turn, and a word's are those of its letters and of the signs after them; each distinct part is
+    encoded once while it stays in the cache.  Many parts are encoded in one call, with the end token, which stands for itself, between.
     """
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    cache: dict[bytes, bytes] = {}
+    mark, mark_id = "<|endoftext|>", tok.token_to_id("<|endoftext|>")
+    signs = re.compile(r"([^\W\d_]+)([!-@\[-`{-~][ -~]*)")
+    words_: dict[bytes, bytes] = {}
+    parts: dict[str, bytes] = {}
+
+    def learn(new: list[str]) -> None:
+        plain = [p for p in new if "<|" not in p]
+        batch = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        for some, e in zip(batch, tok.encode_batch_fast([mark.join(b) for b in batch], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == mark_id) * 4
+            raw = ids.tobytes()
+            for p, lo, hi in zip(some, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]):
+                parts[p] = raw[lo:hi]
+        for p in new:
+            if "<|" in p:
+                parts[p] = np.array(tok.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(cache) > WORDS:
-            cache.clear()
-        new = list({w for words in split for w in words if w not in cache})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, tok.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([cache[w] for w in words]) for words in split]
+        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
+        if len(words_) > WORDS:
+            words_.clear()
+        if len(parts) > WORDS:
+            parts.clear()
+        known = [list(map(words_.get, words)) for words in split]
+        new = {w for words, found in zip(split, known) for w, ids in zip(words, found) if ids is None}
+        if new:
+            cut_ = {w: m.groups() if (m := signs.fullmatch(s := w.decode())) and "<|" not in s else (s,) for w in new}
+            learn(list({p for ps in cut_.values() for p in ps if p not in parts}))
+            for w, ps in cut_.items():
+                words_[w] = parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]]
+        return [b"".join([words_[w] if ids is None else ids for w, ids in zip(words, found)]) for words, found in zip(split, known)]
 
     return encode
 
