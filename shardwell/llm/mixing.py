@@ -19,7 +19,7 @@ from shardwell.llm._common import cut, n_words
 #: Newton steps in one job, and jobs at most.
 STEPS, ROUNDS = 4, 8
 #: Documents of one (source, size) that are ranked in one window group.
-GROUP = 5000
+GROUP = 1000
 
 
 def _rate(lam: Column, x: Column, cap: int) -> Column:
