@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from shardwell.llm._common import cut, map_texts
 
 #: Pieces of one length that are ranked in one window group.
-GROUP = 5000
+GROUP = 1000
 #: Distinct words whose ids a worker keeps at once.
 WORDS = 1_000_000
 
