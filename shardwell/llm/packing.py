@@ -39,13 +39,16 @@ def encoder(path: str):
     text's ids are those of its words in turn, and a word's are those of its letters and of the signs after them; each distinct part is
     encoded once while it stays in the cache.  Many parts are encoded in one call, with the end token, which stands for itself, between.
     """
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
+    import tokenizers
+
+    # a worker that is used again keeps its tokenizer and what it has encoded; both stay within WORDS entries
+    kept = tokenizers.__dict__.setdefault("_shardwell", {})
+    if path not in kept:
+        kept.clear()
+        kept[path] = (tokenizers.Tokenizer.from_file(path), {}, {})
+    tok, words_, parts = kept[path]
     mark, mark_id = "<|endoftext|>", tok.token_to_id("<|endoftext|>")
     signs = re.compile(r"([^\W\d_]+)([!-@\[-`{-~][ -~]*)")
-    words_: dict[bytes, bytes] = {}
-    parts: dict[str, bytes] = {}
 
     def learn(new: list[str]) -> None:
         plain = [p for p in new if "<|" not in p]
@@ -66,14 +69,13 @@ def encoder(path: str):
             words_.clear()
         if len(parts) > WORDS:
             parts.clear()
-        known = [list(map(words_.get, words)) for words in split]
-        new = {w for words, found in zip(split, known) for w, ids in zip(words, found) if ids is None}
+        new = set().union(*split).difference(words_)
         if new:
             cut_ = {w: m.groups() if (m := signs.fullmatch(s := w.decode())) and "<|" not in s else (s,) for w in new}
             learn(list({p for ps in cut_.values() for p in ps if p not in parts}))
             for w, ps in cut_.items():
                 words_[w] = parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]]
-        return [b"".join([words_[w] if ids is None else ids for w, ids in zip(words, found)]) for words, found in zip(split, known)]
+        return [b"".join(map(words_.__getitem__, words)) for words in split]
 
     return encode
 
@@ -104,7 +106,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
         return make
 
     fields = "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return map_texts(docs, [F.col(id_col).alias("_id")], F.col(text_col).alias("_text"), setup, fields)
+    return map_texts(docs, [F.col(id_col).alias("_id")], F.col(text_col).alias("_text"), setup, fields, rows=256)
 
 
 class _Plan:
