@@ -1,8 +1,8 @@
 """Repeated passages by sparse suffix arrays.
 
 Suffixes are kept only at content-selected positions: the minimisers of windows of ``WINDOW`` word 8-grams.  Any passage of ``MIN_WORDS``
-words holds such a position in every text that has it, early enough to leave ``REACH`` words of the passage after it.  Positions whose
-next ``REACH`` words occur once are dropped; the other suffixes are sorted (over all partitions), neighbours are compared, and matches are
+words holds such a position in every text that has it, early enough to leave ``REACH`` words of the passage after it.  What a text repeats of itself is settled
+within the text.  Positions whose next ``REACH`` words occur in one text only are dropped; the other suffixes are sorted (over all partitions), neighbours are compared, and matches are
 extended to both sides.  Suffixes that chain to one another are a run; the earliest document of a run keeps the passage and the others
 lose exactly what they share with it.  Long passages hold many positions, and the union of their matches covers them.
 
@@ -71,6 +71,30 @@ def positions(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), f.astype(np.int64)
 
 
+def repeats_within(words: np.ndarray, at: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
+    """(places of the first of each hash, spans of later ones, spans of what they repeat): passages that a text repeats itself.
+
+    Each later place is compared with the first, as far as the contexts go; the union over neighbouring places covers a passage.
+    """
+    _, first, back = np.unique(f, return_index=True, return_inverse=True)
+    later, earlier = [], []
+    n = len(words)
+    for i in np.flatnonzero(first[back] != np.arange(len(f))):
+        p, q = int(at[i]), int(at[first[back[i]]])
+        if at[i] < at[first[back[i]]]:
+            continue
+        most = min(RIGHT, n - p)
+        differ = words[p : p + most] != words[q : q + most]
+        r = int(differ.argmax()) if differ.any() else most
+        most = min(LEFT, q)
+        differ = words[p - most : p][::-1] != words[q - most : q][::-1]
+        back_ = int(differ.argmax()) if most and differ.any() else most
+        if back_ + r >= MIN_WORDS:
+            later.append((p - back_, p + r))
+            earlier.append((q - back_, q + r))
+    return np.sort(first), _union(later), _union(earlier)
+
+
 def common(a: bytes, b: bytes) -> int:
     """Words that two contexts have in common from their start."""
     n = min(len(a), len(b))
@@ -87,18 +111,22 @@ def _anchors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         cache: dict[bytes, int] = {}
 
         def make(rows):
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], [], []]
             for t in rows:
                 w = word_hashes(t, cache)
                 at, f = positions(w)
-                for column, v in zip(out, (len(w), at, f)):
+                own, later, earlier = repeats_within(w, at, f)
+                spans = lambda x: [{"start": a, "end": b} for a, b in x]
+                for column, v in zip(out, (len(w), at[own], f[own], spans(later), spans(_union(later + earlier)))):
                     column.append(v)
             return list(range(len(rows))), out
 
         return make
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return map_texts(docs, [F.col(id_col).alias("_id"), F.unhex(F.md5(text)).alias("u")], text.alias("_text"), setup, "n int, at array<int>, f array<long>")
+    spans = "array<struct<start:int,end:int>>"
+    fields = f"n int, at array<int>, f array<long>, later {spans}, own {spans}"
+    return map_texts(docs, [F.col(id_col).alias("_id"), F.unhex(F.md5(text)).alias("u")], text.alias("_text"), setup, fields)
 
 
 def _contexts(hits: DataFrame) -> DataFrame:
@@ -113,7 +141,7 @@ def _contexts(hits: DataFrame) -> DataFrame:
                 w = word_hashes(batch.column(4)[i].as_py(), cache)
                 at, f = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
                 k = len(at)
-                right = [w[p : p + RIGHT].tobytes() for p in at]
+                right = [w[p + REACH : p + RIGHT].tobytes() for p in at]  # equal hashes: the words before are equal
                 left = [w[max(0, p - LEFT) : p][::-1].tobytes() for p in at]
                 same = pa.array([i] * k, pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -160,7 +188,7 @@ def _scan(rows: DataFrame) -> DataFrame:
                 if recent and recent[-1]["f"] != r["f"]:
                     recent.clear()
                 for o in reversed(recent):
-                    a, b = common(r["left"], o["left"]), common(r["right"], o["right"])
+                    a, b = common(r["left"], o["left"]), REACH + common(r["right"], o["right"])
                     if a + b >= MIN_WORDS:
                         if o["run"] < 0:
                             o["run"] = runs
@@ -216,7 +244,7 @@ def _joined_runs(scanned: DataFrame) -> tuple[list[tuple[int, int, int]], list[d
         a, b = by[p].get("last"), by[q].get("first")
         if not a or not b or a["f"] != b["f"]:
             continue
-        l, r = common(a["left"], b["left"]), common(a["right"], b["right"])
+        l, r = common(a["left"], b["left"]), REACH + common(a["right"], b["right"])
         if l + r < MIN_WORDS:
             continue
         keys = []
@@ -241,17 +269,16 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     spark = docs.sparkSession
     rows = cut(_anchors(docs, id_col, text_col), "passage-rows")
-    texts = rows.groupBy("u").agg(*_first("_id"), F.first("n").alias("n"), F.first("at").alias("at"), F.first("f").alias("f")).withColumnRenamed("_first_id", "id")
+    texts = rows.groupBy("u").agg(*_first("_id"), F.first("n").alias("n"), F.first("at").alias("at"), F.first("f").alias("f"), F.first("later").alias("later"), F.first("own").alias("own")).withColumnRenamed("_first_id", "id")
     texts = cut(texts, "passage-texts")
     each = texts.select("u", "id", F.explode(F.arrays_zip("at", "f")).alias("x")).select("u", "id", F.col("x.at").alias("at"), F.col("x.f").alias("f"))
     often = each.groupBy("f").agg(F.count("*").alias("k")).filter("k > 1").select("f")
     hits = each.join(often, "f").groupBy("u", "id").agg(F.collect_list(F.struct("at", "f")).alias("x"))  # bounded by the text
     hits = cut(hits.select("u", "id", F.col("x.at").alias("at"), F.col("x.f").alias("f")), "passage-hits")
-    if hits.isEmpty():
-        return texts.select("u", "id", "copies", "n", F.lit(None).cast("array<struct<start:int,end:int>>").alias("repeated"), F.lit(None).cast("array<struct<start:int,end:int,first:long>>").alias("removed")).filter("false")
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("u", F.unhex(F.md5("text")))
-    found = source.join(hits, (source["u"] == hits["u"]) & source["id"].eqNullSafe(hits["id"])).select(hits["u"], hits["id"], "at", "f", "text")
-    suffixes = cut(_contexts(found).dropDuplicates(["u", "pos"]), "passage-suffixes")
+    found = source.join(hits, (source["u"] == hits["u"]) & source["id"].eqNullSafe(hits["id"])).select(source["u"], source["id"], "at", "f", "text")
+    # rows equal in id and text are in one partition already
+    suffixes = cut(_contexts(found.dropDuplicates(["u", "id"])), "passage-suffixes")
     order = ["f", "right", "left", "id", "u", "pos"]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     scanned = cut(_scan(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)), "passage-scan")
@@ -276,7 +303,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 o = r["lead"]
                 out.append((r["u"], r["lo"], r["hi"], r["elo"], r["ehi"], o["id"]))
                 if (o["u"], o["pos"]) != (r["u"], r["pos"]):
-                    a, b = common(r["left"], o["left"]), common(r["right"], o["right"])
+                    a, b = common(r["left"], o["left"]), REACH + common(r["right"], o["right"])
                     if a + b >= MIN_WORDS:
                         out.append((r["u"], r["pos"] - a, r["pos"] + b, r["pos"] - a, r["pos"] + b, o["id"]))
             cols = list(zip(*out)) or [[]] * 6
@@ -291,7 +318,13 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.array_sort(F.collect_set(F.struct(F.col("lo").alias("start"), F.col("hi").alias("end")))).alias("repeated"),
         F.array_sort(F.collect_set(F.when(F.col("rhi") > F.col("rlo"), F.struct(F.col("rlo").alias("start"), F.col("rhi").alias("end"), "first")))).alias("removed"),
     )  # bounded by the text
-    return texts.select("u", "id", "copies", "n").join(gathered, "u")
+    # with what the text repeats of itself
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    kept = F.array().cast(f"array<struct<start:int,end:int,first:{kind}>>")
+    own = F.transform("later", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.col("id").alias("first")))
+    rows = texts.select("u", "id", "copies", "n", "later", "own").join(gathered, "u", "left")
+    rows = rows.withColumn("repeated", F.concat(F.coalesce("repeated", none), "own")).withColumn("removed", F.concat(F.coalesce("removed", kept), own))
+    return rows.filter(F.size("repeated") > 0).select("u", "id", "copies", "n", "repeated", "removed")
 
 
 def _first(id_col: str) -> list:
