@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from shardwell.llm._common import cut, fold
 
 #: Tokens of a block, n-grams of a shard (about), and the greatest discounted count.
-BLOCK, SHARD, KEEP = 2_000_000, 1_000_000, 5
+BLOCK, SHARD, KEEP = 1_000_000, 1_000_000, 5
 #: Key of the end token, which is also the history of a text's first word.
 END = 0
 
@@ -102,23 +102,22 @@ class _Block:
         return np.bincount(back[self.in_train], minlength=n).astype(np.uint32)
 
     def dump(self) -> bytes:
-        small = np.uint16 if len(self.vocabulary) < 2**16 else np.uint32
-        return json.dumps([len(self.vocabulary), len(self.ids), len(self.lengths), np.dtype(small).str]).encode() + b"\n" + zlib.compress(
-            b"".join([self.vocabulary.tobytes(), np.ascontiguousarray(self.ids.astype(small).view(np.uint8).reshape(-1, small().itemsize).T).tobytes(), self.lengths.astype("<i8").tobytes(), self.train.astype(np.uint8).tobytes()]), 1
-        )
+        """Vocabulary, ids by planes of bytes, lengths and the training marks, each compressed."""
+        small = np.dtype("<u2") if len(self.vocabulary) < 2**16 else np.dtype("<u4")
+        parts = [_pack(_gaps(self.vocabulary)), _pack(self.ids.astype(small)), _pack(self.lengths.astype("<i8")), _pack(self.train.astype("u1"))]
+        return json.dumps([small.str, *map(len, parts)]).encode() + b"\n" + b"".join(parts)
 
     @classmethod
     def load(cls, data: bytes) -> _Block:
         head, _, rest = data.partition(b"\n")
-        v, n, d, small = json.loads(head)
-        raw, size = np.frombuffer(zlib.decompress(rest), np.uint8), np.dtype(small).itemsize
-        a, b, c = v * 8, v * 8 + n * size, v * 8 + n * size + d * 8
-        ids = np.ascontiguousarray(raw[a:b].reshape(size, n).T).view(small).reshape(n).astype(np.int64)
-        return cls(raw[:a].view(np.uint64), ids, raw[b:c].view("<i8"), raw[c : c + d].astype(bool))
+        small, *sizes = json.loads(head)
+        at = np.cumsum([0, *sizes])
+        v, ids, lengths, train = (_unpack(rest[a:b], k)[0] for a, b, k in zip(at, at[1:], ("<u8", small, "<i8", "u1")))
+        return cls(np.cumsum(v, dtype=np.uint64), ids.astype(np.int64), lengths, train.astype(bool))
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, mod: int, held: int, shards: int) -> DataFrame:
-    """Rows of two kinds: blocks (order 0, with the ids) and packed n-gram counts (order 1 and 2, by shard)."""
+def _blocks(docs: DataFrame, id_col: str, text_col: str, mod: int, held: int) -> DataFrame:
+    """block, data and ids of each block of texts."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -134,7 +133,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, mod: int, held: int, sh
             words.default_factory = words.__len__
             return words, [], [], [], []
 
-        def rows(words, ids, lengths, train, names):
+        def row(words, ids, lengths, train, names, kind):
             nonlocal made
             number = (part << 24) + made
             made += 1
@@ -143,42 +142,47 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, mod: int, held: int, sh
             place = np.empty(len(order), dtype=np.int64)
             place[order] = np.arange(len(order))
             block = _Block(keys[order], place[np.concatenate(ids)], np.array(lengths, dtype=np.int64), np.array(train, dtype=bool))
-            out = [(0, number, 0, block.dump(), names)]
-            grams = [(1, block.vocabulary, block.ids)]
-            k, back, _ = block.bigrams()
-            grams.append((2, k, back))
-            for n, keys, back in grams:
-                count = block.counts(back, len(keys))
-                out += [(n, number, s, _pack(_gaps(keys[at]), count[at]), None) for s, at in _sliced(keys, shards)]
-            for lo in range(0, len(out), 64):
-                c = list(zip(*out[lo : lo + 64]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.list_(ids_type))],
-                    names=["order", "block", "shard", "data", "ids"],
-                )
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([block.dump()], pa.binary()), pa.array([names], pa.list_(kind))], names=["block", "data", "ids"])
 
         words, ids, lengths, train, names = fresh()
-        total = 0
-        ids_type = None
+        total, kind_ = 0, None
         for batch in batches:
-            ids_type = batch.schema.field(0).type
+            kind_ = batch.schema.field(0).type
             for i in range(batch.num_rows):
                 t = tokens(batch.column(2)[i].as_py())
-                own = np.fromiter(map(words.__getitem__, [*t, None]), np.int64, len(t) + 1)
-                ids.append(own)
-                lengths.append(len(own))
+                ids.append(np.fromiter(map(words.__getitem__, [*t, None]), np.int32, len(t) + 1))
+                lengths.append(len(t) + 1)
                 train.append(not batch.column(1)[i].as_py())
                 names.append(batch.column(0)[i].as_py())
-                total += len(own)
+                total += len(t) + 1
                 if total >= BLOCK:
-                    yield from rows(words, ids, lengths, train, names)
+                    yield row(words, ids, lengths, train, names, kind_)
                     words, ids, lengths, train, names = fresh()
                     total = 0
         if lengths:
-            yield from rows(words, ids, lengths, train, names)
+            yield row(words, ids, lengths, train, names, kind_)
 
     src = docs.select(F.col(id_col).alias("id"), (fold(id_col, mod) == held).alias("held"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, f"order int, block long, shard int, data binary, ids array<{kind}>")
+    return src.mapInArrow(run, f"block long, data binary, ids array<{kind}>")
+
+
+def _counts(blocks: DataFrame, shards: int) -> DataFrame:
+    """Packed training counts of each block's n-grams, by order (1 and 2) and shard of the key."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number, block = batch.column(0)[i].as_py(), _Block.load(batch.column(1)[i].as_py())
+                k, back, _ = block.bigrams()
+                for n, keys, of in ((1, block.vocabulary, block.ids), (2, k, back)):
+                    count = block.counts(of, len(keys))
+                    out = [(n, number, s, _pack(_gaps(keys[at]), count[at])) for s, at in _sliced(keys, shards)]
+                    c = list(zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary())], names=["order", "block", "shard", "data"])
+
+    return blocks.select("block", "data").mapInArrow(run, "order int, block long, shard int, data binary")
 
 
 def _add_counts(packed: DataFrame) -> DataFrame:
@@ -269,7 +273,8 @@ def _sums(full: DataFrame, totals: dict, shards: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = {n: batch.column(n)[i].as_py() for n in ("block", "tokens", "p0")}
                 block = _Block.load(r["tokens"])
                 uni, _ = _gather(r["p0"], 1, "<u4", "u1")
                 count, own = _gather(r["p0"], 2, "<u4", "u1")
@@ -311,7 +316,8 @@ def _scores(full: DataFrame, totals: dict, id_type: str) -> DataFrame:
 
         for batch in batches:
             where = batch.schema.get_field_index("ids")
-            for i, r in enumerate(batch.to_pylist()):
+            for i in range(batch.num_rows):
+                r = {n: batch.column(n)[i].as_py() for n in ("tokens", "p0", "p1")}
                 block = _Block.load(r["tokens"])
                 uni = _gather(r["p0"], 1, "<u4", "u1")[0].astype(np.int64)
                 count = _gather(r["p0"], 2, "<u4", "u1")[0].astype(np.int64)
@@ -369,9 +375,8 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, id_col: str = "doc_id",
     size = docs.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
     shards = max(1, -(-size // (6 * SHARD)))
     id_type = docs.schema[id_col].dataType.simpleString()
-    made = cut(_blocks(docs, id_col, text_col, mod, held, shards), "katz-blocks")
-    blocks = made.filter("order = 0")
-    counted = cut(_add_counts(made.filter("order > 0").select("order", "block", "shard", "data")), "katz-counts")
+    blocks = cut(_blocks(docs, id_col, text_col, mod, held), "katz-blocks")
+    counted = cut(_add_counts(_counts(blocks, shards)), "katz-counts")
     totals = totals_of(counted)
     sums = cut(_add_sums(_sums(_by_block(blocks, counted), totals, shards)), "katz-sums")
     out = _scores(_by_block(blocks, counted, sums), totals, id_type)
