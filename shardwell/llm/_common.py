@@ -52,6 +52,17 @@ def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As ``cut``, in buckets of ``key``, so that later joins on it leave this side where it is."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    called = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{scratch(spark)}/shardwell/{called}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(called)
+    _written.append((spark, path))
+    return spark.table(called)
+
+
 def release() -> None:
     """Delete every table that ``cut`` wrote; results that still read one must be consumed before."""
     while _written:
@@ -84,11 +95,12 @@ def map_texts(df: DataFrame, keep: list, text, setup: Callable[[], Callable[[lis
     values of each output column).  The columns in ``keep`` travel as Arrow arrays, so integers stay exact beside nulls.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
-    src = df.select(*keep, text)
-    extra = StructType.fromDDL(fields)
-    schema = StructType([*src.schema.fields[: len(keep)], *extra.fields])
+    names = df.select(*keep).columns
+    src = df.select(*[(F.col(k) if isinstance(k, str) else k).alias(f"c{i}") for i, k in enumerate(keep)], text.alias("t"))  # whatever the names
+    extra = StructType.fromDDL(fields) if fields else StructType([])
+    schema = StructType([*src.schema.fields[: len(keep)], *(StructField(f"e{i}", f.dataType) for i, f in enumerate(extra.fields))])
 
     def run(batches):
         import pyarrow as pa
@@ -105,4 +117,4 @@ def map_texts(df: DataFrame, keep: list, text, setup: Callable[[], Callable[[lis
                         [*(k.cast(f.type) for k, f in zip(kept, to)), *(pa.array(c, f.type) for c, f in zip(columns, list(to)[len(kept) :]))], schema=to
                     )
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).toDF(*names, *extra.names)

@@ -194,9 +194,8 @@ def filter_documents(docs: DataFrame, model: dict, text_col: str = "text") -> Da
                     clean *= 1 - 1 / (1 + math.exp(-max(-30.0, min(30.0, b + sum(w[f] for f in found)))))
                 if 1.0 - clean < 0.5:
                     stay.append(i)
-            return stay, [[True] * len(stay)]
+            return stay, []
 
         return make
 
-    kept = map_texts(docs, [F.col(c) for c in names], F.col(text_col).alias("_text"), setup, "_stays boolean")
-    return kept.select(*names)
+    return map_texts(docs, list(names), F.col(text_col), setup, "")
