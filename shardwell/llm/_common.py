@@ -52,13 +52,17 @@ def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_by(df: DataFrame, key: str, name: str) -> DataFrame:
-    """As ``cut``, in buckets of ``key``, so that later joins on it leave this side where it is."""
+def cut_by(df: DataFrame, key: str, name: str, dealt: bool = True) -> DataFrame:
+    """As ``cut``, in buckets of ``key``, so that later joins on it leave this side where it is.
+
+    ``dealt``: dealt out by the key first, so that a bucket is one file; without, each task writes to the buckets of its rows, for tables of
+    few large rows.
+    """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     called = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     path = f"{scratch(spark)}/shardwell/{called}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(called)
+    (df.repartition(buckets, key) if dealt else df).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(called)
     _written.append((spark, path))
     return spark.table(called)
 

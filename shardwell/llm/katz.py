@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwell.llm._common import cut, fold
+from shardwell.llm._common import cut_by, fold
 
 #: Tokens of a block, n-grams of a shard (about), and the greatest discounted count.
 BLOCK, SHARD, KEEP = 1_000_000, 1_000_000, 5
@@ -58,7 +58,7 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def _gaps(keys: np.ndarray) -> np.ndarray:
-    return np.diff(keys, prepend=np.uint64(0))
+    return np.diff(keys, prepend=keys.dtype.type(0))
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -208,7 +208,10 @@ def _add_counts(packed: DataFrame) -> DataFrame:
         owner[first[first >= 0]] = 1
         out, at = [], 0
         for block, n in zip(rows["block"], sizes):
-            out.append((key[0], block, key[1], _pack(total[back[at : at + n]].astype("<u4"), owner[at : at + n])))
+            mine = back[at : at + n]
+            # words also get their number in the shard, by which their sums are asked for later
+            number = [_gaps(mine.astype("<u4"))] if key[0] == 1 else []
+            out.append((key[0], block, key[1], _pack(total[mine].astype("<u4"), owner[at : at + n], *number)))
             at += n
         seen = total[total > 0]
         low = np.bincount(np.minimum(seen, KEEP + 2), minlength=KEEP + 3)
@@ -243,7 +246,7 @@ def _unigram(count: np.ndarray, totals: dict) -> np.ndarray:
     """Probabilities by corpus count; unknown words have what the known ones leave."""
     if not totals["n"]:
         return np.ones(len(count))
-    return np.where(count > 0, kept_counts(count, totals["d1"]) / totals["n"], totals["unknown"])
+    return np.where(count > 0, kept_counts(count, totals["d1"]) / totals["of"], totals["unknown"])
 
 
 def denominators(count: np.ndarray, kept: np.ndarray) -> np.ndarray:
@@ -251,23 +254,30 @@ def denominators(count: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return np.maximum(count, 1) + ((count > 0) & (kept > count - 1e-6))
 
 
-def _by_block(blocks: DataFrame, *parts: DataFrame) -> DataFrame:
-    """Each block with what belongs to it, bounded by the block's own n-grams."""
-    out = blocks.select("block", F.col("data").alias("tokens"), "ids")
-    for i, p in enumerate(parts):
-        got = p.filter("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("order", "shard", "data"))).alias(f"p{i}"))
-        out = out.join(got, "block")
-    return out
+def _gathered(rows: DataFrame) -> DataFrame:
+    """What belongs to each block, bounded by its own n-grams."""
+    return rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("order", "shard", "data"))).alias("p"))
+
+
+def _pieces(parts: list, order: int, *kinds: str) -> list[tuple[int, list[np.ndarray]]]:
+    """(shard, arrays) of one order, shards in turn."""
+    return [(p["shard"], _unpack(p["data"], *kinds)) for p in parts if p["order"] == order]
 
 
-def _gather(parts: list, order: int, *kinds: str) -> list[np.ndarray]:
-    """The pieces of one order, shards in turn: aligned with the block's sorted keys."""
-    got = [_unpack(p["data"], *kinds) for p in parts if p["order"] == order]
-    return [np.concatenate(x) for x in zip(*got)]
+def _joined(pieces: list[tuple[int, list[np.ndarray]]]) -> list[np.ndarray]:
+    """Aligned with the block's sorted keys."""
+    return [np.concatenate(x) for x in zip(*(arrays for _, arrays in pieces))]
 
 
-def _sums(full: DataFrame, totals: dict, shards: int) -> DataFrame:
-    """Per block and shard of histories: discounted counts and lower probabilities of the bigrams that the block owns, by history."""
+#: Sums of a history: followers seen 1..KEEP times, followers whose word has corpus count 1..KEEP, and corpus counts of the other followers.
+SUMS = ("<u4",) * (2 * KEEP) + ("<u8",)
+
+
+def _sums(full: DataFrame) -> DataFrame:
+    """Per block and shard: numbers of the block's words, and as histories their sums over the bigrams that the block owns.
+
+    All are whole numbers, so they add up to the same in any order.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -276,38 +286,46 @@ def _sums(full: DataFrame, totals: dict, shards: int) -> DataFrame:
             for i in range(batch.num_rows):
                 r = {n: batch.column(n)[i].as_py() for n in ("block", "tokens", "p0")}
                 block = _Block.load(r["tokens"])
-                uni, _ = _gather(r["p0"], 1, "<u4", "u1")
-                count, own = _gather(r["p0"], 2, "<u4", "u1")
-                _, _, at = block.bigrams()
+                words = _pieces(r["p0"], 1, "<u4", "u1", "<u4")
+                uni = _joined(words)[0].astype(np.int64)
+                count, own = _joined(_pieces(r["p0"], 2, "<u4", "u1"))
                 own = own.astype(bool)
-                h, w = block.history[at[own]], block.ids[at[own]]
+                at = block.bigrams()[2][own]
+                h, c, u = block.history[at], count[own], uni[block.ids[at]]
                 v = len(block.vocabulary)
-                kept = np.bincount(h, kept_counts(count[own].astype(np.int64), totals["d2"]), v)
-                lower = np.bincount(h, _unigram(uni.astype(np.int64), totals)[w], v)
-                out = [(1, r["block"], s, _pack(_gaps(block.vocabulary[x]), kept[x], lower[x])) for s, x in _sliced(block.vocabulary, shards)]
+                sums = [np.bincount(h[c == k], minlength=v).astype("<u4") for k in range(1, KEEP + 1)]
+                sums += [np.bincount(h[u == k], minlength=v).astype("<u4") for k in range(1, KEEP + 1)]
+                sums.append(np.bincount(h[u > KEEP], u[u > KEEP], v).astype("<u8"))
+                out, lo = [], 0
+                for shard, (_, _, number) in words:
+                    x = slice(lo, lo + len(number))
+                    out.append((r["block"], shard, _pack(number, *[a[x] for a in sums])))
+                    lo += len(number)
                 c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary())], names=["order", "block", "shard", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary())], names=["block", "shard", "data"])
 
-    return full.mapInArrow(run, "order int, block long, shard int, data binary")
+    return full.mapInArrow(run, "block long, shard int, data binary")
 
 
 def _add_sums(packed: DataFrame) -> DataFrame:
+    """For each block and shard the corpus sums of its words, in the order of its keys."""
+
     def run(key, rows):
         import pandas as pd
 
-        rows = rows.sort_values("block")
-        got = [_unpack(d, "<u8", "<f8", "<f8") for d in rows["data"]]
-        values, back = np.unique(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), return_inverse=True)
-        kept = np.bincount(back, np.concatenate([g[1] for g in got]), len(values))
-        lower = np.bincount(back, np.concatenate([g[2] for g in got]), len(values))
-        out, at = [], 0
-        for block, g in zip(rows["block"], got):
-            x = back[at : at + len(g[0])]
-            out.append((key[0], block, key[1], _pack(kept[x], lower[x])))
-            at += len(g[0])
+        got = [_unpack(d, "<u4", *SUMS) for d in rows["data"]]
+        numbers = [np.cumsum(g[0], dtype=np.int64) for g in got]
+        n = max(int(x[-1]) for x in numbers) + 1
+        total = []
+        for k in range(1, len(SUMS) + 1):
+            t = np.zeros(n, dtype=np.int64)
+            for x, g in zip(numbers, got):
+                t[x] += g[k].astype(np.int64)  # a block's numbers differ
+            total.append(t)
+        out = [(1, block, key[0], _pack(*[t[x].astype(kind) for t, kind in zip(total, SUMS)])) for block, x in zip(rows["block"], numbers)]
         return pd.DataFrame(out, columns=["order", "block", "shard", "data"])
 
-    return packed.groupBy("order", "shard").applyInPandas(run, "order int, block long, shard int, data binary")
+    return packed.groupBy("shard").applyInPandas(run, "order int, block long, shard int, data binary")
 
 
 def _scores(full: DataFrame, totals: dict, id_type: str) -> DataFrame:
@@ -319,9 +337,12 @@ def _scores(full: DataFrame, totals: dict, id_type: str) -> DataFrame:
             for i in range(batch.num_rows):
                 r = {n: batch.column(n)[i].as_py() for n in ("tokens", "p0", "p1")}
                 block = _Block.load(r["tokens"])
-                uni = _gather(r["p0"], 1, "<u4", "u1")[0].astype(np.int64)
-                count = _gather(r["p0"], 2, "<u4", "u1")[0].astype(np.int64)
-                kept, lower = _gather(r["p1"], 1, "<f8", "<f8")
+                uni = _joined(_pieces(r["p0"], 1, "<u4", "u1", "<u4"))[0].astype(np.int64)
+                count = _joined(_pieces(r["p0"], 2, "<u4", "u1"))[0].astype(np.int64)
+                sums = [x.astype(np.float64) for x in _joined(_pieces(r["p1"], 1, *SUMS))]
+                lost = sum(k * (1 - totals["d2"][k]) * sums[k - 1] for k in range(1, KEEP + 1))
+                kept = np.where(uni > 0, uni - lost, 0.0)
+                lower = (sums[-1] + sum(k * totals["d1"][k] * sums[KEEP + k - 1] for k in range(1, KEEP + 1))) / max(totals["of"], 1)
                 _, back, at = block.bigrams()
                 p1 = _unigram(uni, totals)
                 times = denominators(uni, kept)
@@ -350,18 +371,16 @@ def _scores(full: DataFrame, totals: dict, id_type: str) -> DataFrame:
     return full.mapInArrow(run, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def totals_of(counted: DataFrame) -> dict:
+def totals_of(rows: list[bytes], orders: list[int]) -> dict:
     """Corpus totals from one small row a shard: tokens, distinct tokens, discounts, and the probability of an unknown word."""
-    rows = counted.filter("block < 0").select("order", "data").collect()  # a row a shard
-    sums = {o: [sum(x) for x in zip(*[json.loads(r["data"]) for r in rows if r["order"] == o])] or [0] * (KEEP + 3) for o in (1, 2)}
+    sums = {o: [sum(x) for x in zip(*[json.loads(r) for r, k in zip(rows, orders) if k == o])] or [0] * (KEEP + 3) for o in (1, 2)}
     n, v, low = sums[1][0], sums[1][1], sums[1][2:]
     d1, d2 = discounts(low), discounts(sums[2][2:])
     freed = sum((1 - d1[r]) * r * low[r - 1] for r in range(1, KEEP + 1))
-    if n and freed <= 0:  # no word is rare: free half a count
-        freed = 0.5
-        d1 = [1.0] * (KEEP + 1)
-        n += 0  # the unknown class then shares the total
-    return {"n": n, "v": v, "d1": d1, "d2": d2, "unknown": freed / n if n else 1.0}
+    of = n
+    if n and freed <= 0:  # no word is rare: half a count is added for the unknown one
+        freed, of = 0.5, n + 0.5
+    return {"n": n, "v": v, "of": of, "d1": d1, "d2": d2, "unknown": freed / of if n else 1.0}
 
 
 def score(docs: DataFrame, mod: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,9 +394,11 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, id_col: str = "doc_id",
     size = docs.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
     shards = max(1, -(-size // (6 * SHARD)))
     id_type = docs.schema[id_col].dataType.simpleString()
-    blocks = cut(_blocks(docs, id_col, text_col, mod, held), "katz-blocks")
-    counted = cut(_add_counts(_counts(blocks, shards)), "katz-counts")
-    totals = totals_of(counted)
-    sums = cut(_add_sums(_sums(_by_block(blocks, counted), totals, shards)), "katz-sums")
-    out = _scores(_by_block(blocks, counted, sums), totals, id_type)
+    blocks = cut_by(_blocks(docs, id_col, text_col, mod, held), "block", "katz-blocks", dealt=False)
+    counted = cut_by(_gathered(_add_counts(_counts(blocks, shards))), "block", "katz-counts", dealt=False)
+    rows = counted.filter("block < 0").select(F.explode("p").alias("p")).select("p.order", "p.data").collect()  # a row a shard
+    totals = totals_of([r[1] for r in rows], [r[0] for r in rows])
+    full = blocks.select("block", F.col("data").alias("tokens"), "ids").join(counted.select("block", F.col("p").alias("p0")).hint("merge"), "block")
+    sums = _gathered(_add_sums(_sums(full)))
+    out = _scores(full.join(sums.select("block", F.col("p").alias("p1")).hint("merge"), "block"), totals, id_type)
     return out.withColumnRenamed("id", id_col)
