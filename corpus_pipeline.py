@@ -1,37 +1,62 @@
 """The corpus pipeline: toxicity, near-duplicates, repeated passages, mixing and packing, each stage written and read again.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept; all but the last return the columns of ``documents``.
+A stage's result has to be written before the next stage is called: that drops the tables in between which the stage before it made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from shardwell.llm import mixing, neardup, packing, passages, toxicity
-from shardwell.llm._common import cut, table
+from shardwell.llm._common import cut, release, table, written
+
+_before: list = []
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Drops the tables of the stage before, and remembers this one's."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release([x for x in _before if x[0] is spark])
+        had = set(written())
+        out = f(spark, docs, sf_dir)
+        _before[:] = [x for x in written() if x not in had]
+        return out
+
+    return run_stage
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model calls toxic go; the rest stay as they are."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.filter_documents(docs, model)
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays."""
     return neardup.keep_one(docs)
 
 
+@_stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are cut out; documents of which nothing is left go."""
     return passages.remove_repeats(docs)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.repeat_documents(docs)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences."""
     return packing.pack(docs)

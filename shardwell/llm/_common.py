@@ -67,13 +67,18 @@ def cut_by(df: DataFrame, key: str, name: str, dealt: bool = True) -> DataFrame:
     return spark.table(called)
 
 
-def release() -> None:
-    """Delete every table that ``cut`` wrote; results that still read one must be consumed before."""
-    while _written:
-        spark, path = _written.pop()
+def written() -> list[tuple[SparkSession, str]]:
+    """Tables written so far and not yet released."""
+    return list(_written)
+
+
+def release(tables: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Delete these tables, or all; results that still read one must be consumed before."""
+    for spark, path in written() if tables is None else tables:
+        if (spark, path) in _written:
+            _written.remove((spark, path))
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session may have ended already
             return
