@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +36,24 @@ def files(spark: SparkSession, base: str, pattern: str | None = None) -> DataFra
     reader = spark.read.format("binaryFile").schema(_FILES).option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(base).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+    rows = reader.load(base)
+    full = rows.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+    return full.unionByName(_empty_files(spark, rows))
+
+
+def _empty_files(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The reader leaves files without bytes out, but an empty object is an object (G-25): those of its listing that it gave no row for."""
+    listed = spark.createDataFrame([(unquote(x),) for x in rows.inputFiles()], "path string")  # the driver holds the listing already
+    names = F.regexp_replace("path", "^file:/+", "/")
+    gone = listed.withColumn("_n", names).join(rows.select(names.alias("_n")), "_n", "left_anti").select("path").collect()
+    out = []
+    for (path,) in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        status = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+        if status.getLen() == 0:
+            out.append((path, status.getModificationTime()))
+    found = spark.createDataFrame(out, "path string, ms long")
+    return found.select("path", F.timestamp_millis("ms").alias("mtime"), F.lit(0).cast("long").alias("size"), F.lit(b"").alias("content"))
 
 
 def loose(spark: SparkSession, base: str) -> DataFrame:
