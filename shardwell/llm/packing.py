@@ -17,12 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwell.llm._common import cut, map_texts
+from shardwell.llm._common import cut
 
 #: Pieces of one length that are ranked in one window group.
 GROUP = 1000
 #: Distinct words whose ids a worker keeps at once.
 WORDS = 1_000_000
+#: Bytes of texts that are encoded together (or one longer text).
+TOGETHER = 8_000_000
 
 
 def word_bpe() -> str:
@@ -33,12 +35,15 @@ def word_bpe() -> str:
 
 
 def encoder(path: str):
-    """Function from texts (UTF-8) to the bytes of their ids (little-endian unsigned 32-bit).
+    """Function from an Arrow array of texts to (ids of all, where each text's ids start and the last ones end).
 
     The tokenizer lowers case, drops white space and never joins what it separates, and it cuts between letters and ASCII signs.  So a
-    text's ids are those of its words in turn, and a word's are those of its letters and of the signs after them; each distinct part is
-    encoded once while it stays in the cache.  Many parts are encoded in one call, with the end token, which stands for itself, between.
+    text's ids are those of its words in turn, and a word's are those of its letters and of the signs after them.  Arrow splits the texts
+    and numbers the distinct words; each distinct part is encoded once while it stays in the cache, many in one call with the end token,
+    which stands for itself, between; the words' ids are then put in the order of the texts.
     """
+    import pyarrow as pa
+    import pyarrow.compute as pc
     import tokenizers
 
     # a worker that is used again keeps its tokenizer and what it has encoded; both stay within WORDS entries
@@ -63,50 +68,75 @@ def encoder(path: str):
             if "<|" in p:
                 parts[p] = np.array(tok.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(texts: list[bytes]) -> list[bytes]:
-        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
+    def ids_of(words: list[str]) -> list[bytes]:
         if len(words_) > WORDS:
             words_.clear()
         if len(parts) > WORDS:
             parts.clear()
-        new = set().union(*split).difference(words_)
+        new = [w for w in words if w not in words_]
         if new:
-            cut_ = {w: m.groups() if (m := signs.fullmatch(s := w.decode())) and "<|" not in s else (s,) for w in new}
+            cut_ = {w: m.groups() if "<|" not in w and (m := signs.fullmatch(w)) else (w,) for w in new}
             learn(list({p for ps in cut_.values() for p in ps if p not in parts}))
             for w, ps in cut_.items():
                 words_[w] = parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]]
-        return [b"".join(map(words_.__getitem__, words)) for words in split]
+        return list(map(words_.__getitem__, words))
+
+    def encode(texts) -> tuple[np.ndarray, np.ndarray]:
+        # taken, not sliced: Arrow's lower case reads a slice's offsets wrongly
+        texts = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+        # a special token is one only as it is written: such texts keep their case, which the tokenizer lowers elsewhere
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        for c in "\t\n\x0b\x0c\r":
+            texts = pc.replace_substring(texts, c, " ")
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        each = ids_of(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), "<u4")
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[codes]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat((np.cumsum(size) - size)[codes] - upto[:-1], n) + np.arange(upto[-1])
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+        return flat[at], upto[bounds]
 
     return encode
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str, keep_ids: bool = False) -> DataFrame:
-    """A row per piece: id, piece, start, length, ids_crc32 (and ids)."""
-    end = np.array([end_id], dtype="<u4").tobytes()
-    step = capacity * 4
+    """A row per piece: _id, piece, start, length, ids_crc32 (and ids)."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
-    def setup():
+    def run(batches):
         import os
 
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         encode = encoder(tokenizer)
-
-        def make(texts):
-            at: list[int] = []
-            out: list[list] = [[] for _ in range(4 + keep_ids)]
-            for i, ids in enumerate(encode([(t or "").encode("utf-8", "replace") for t in texts])):
-                ids += end
-                for n, lo in enumerate(range(0, len(ids), step)):
-                    part = ids[lo : lo + step]
-                    at.append(i)
-                    for column, v in zip(out, (n, lo // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").astype("int32") if keep_ids else None)):
-                        column.append(v)
-            return at, out
-
-        return make
-
-    fields = "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return map_texts(docs, [F.col(id_col).alias("_id")], F.col(text_col).alias("_text"), setup, fields, rows=256)
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TOGETHER, "right")))
+                part, lo = batch.slice(lo, hi - lo), hi
+                ids, bounds = encode(part.column(1))
+                at: list[int] = []
+                out: list[list] = [[] for _ in names[1:]]
+                for i in range(part.num_rows):
+                    own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id))
+                    for n, start in enumerate(range(0, len(own), capacity)):
+                        some = own[start : start + capacity]
+                        at.append(i)
+                        for column, v in zip(out, (n, start, len(some), zlib.crc32(some), some.astype(np.int32))):
+                            column.append(v)
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(out, types))], names=names)
+
+    fields = f"_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, fields)
 
 
 class _Plan:
