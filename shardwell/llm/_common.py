@@ -2,91 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardwell.sources.scratch import cut, cut_by, release, written
+
+__all__ = ["WORD", "cut", "cut_by", "fold", "map_texts", "mix", "n_words", "release", "table", "word_hashes", "written"]
+
 #: Words of a text: runs of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-_own: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    A temporary folder stands in only where driver and executors are one process (``local[...]``); elsewhere the setting is required.
-    """
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return shared.rstrip("/")
-    if not (sc.master == "local" or sc.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if sc.applicationId not in _own:
-        _own[sc.applicationId] = f"file://{tempfile.mkdtemp(prefix='shardwell-')}"
-    return _own[sc.applicationId]
-
-
-def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, and any executor can read it again after a loss.
-
-    ``narrow`` rows (keys, pairs, links) fit in fewer and larger files: an eighth of the shuffle partitions, eight at least.
-    """
-    spark = df.sparkSession
-    if narrow:
-        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    path = f"{scratch(spark)}/shardwell/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cut_by(df: DataFrame, key: str, name: str, dealt: bool = True) -> DataFrame:
-    """As ``cut``, in buckets of ``key``, so that later joins on it leave this side where it is.
-
-    ``dealt``: dealt out by the key first, so that a bucket is one file; without, each task writes to the buckets of its rows, for tables of
-    few large rows.
-    """
-    spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    called = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-    path = f"{scratch(spark)}/shardwell/{called}"
-    (df.repartition(buckets, key) if dealt else df).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(called)
-    _written.append((spark, path))
-    return spark.table(called)
-
-
-def written() -> list[tuple[SparkSession, str]]:
-    """Tables written so far and not yet released."""
-    return list(_written)
-
-
-def release(tables: list[tuple[SparkSession, str]] | None = None) -> None:
-    """Delete these tables, or all; results that still read one must be consumed before."""
-    for spark, path in written() if tables is None else tables:
-        if (spark, path) in _written:
-            _written.remove((spark, path))
-        try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may have ended already
-            return
-
-
-atexit.register(release)
-
-
 def n_words(text: str):
     """Number of words of a string column (null: 0)."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
@@ -97,6 +32,27 @@ def fold(id_col: str, mod: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def word_hashes(text: str | None, cache: dict[bytes, int], most: int = 200_000) -> np.ndarray:
+    """crc32 of each word; ``cache`` keeps those of at most ``most`` distinct words (and of one text more)."""
+    words = (text or "").encode("utf-8", "replace").split()
+    if len(cache) > most:  # frequent words came early: they stay
+        for w in list(cache)[most // 2 :]:
+            del cache[w]
+    out = []
+    for w in words:
+        h = cache.get(w)
+        if h is None:
+            h = cache[w] = zlib.crc32(w)
+        out.append(h)
+    return np.array(out, dtype="<u4")
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of unsigned 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
 def map_texts(df: DataFrame, keep: list, text, setup: Callable[[], Callable[[list], tuple[list[int], list[list]]]], fields: str, rows: int = 64) -> DataFrame:
     """Run Python over whole texts.
 

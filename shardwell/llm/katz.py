@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwell.llm._common import cut_by, fold
+from shardwell.llm._common import cut_by, fold, mix
 
 #: Tokens of a block, n-grams of a shard (about), and the greatest discounted count.
 BLOCK, SHARD, KEEP = 1_000_000, 1_000_000, 5
@@ -32,13 +32,8 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
 def bigram_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return _mix(_mix(first) * np.uint64(0xD6E8FEB86659FD93) + second)
+    return mix(mix(first) * np.uint64(0xD6E8FEB86659FD93) + second)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:

@@ -22,7 +22,7 @@ from shardwell.llm._common import cut
 #: Pieces of one length that are ranked in one window group.
 GROUP = 1000
 #: Distinct words whose ids a worker keeps at once.
-WORDS = 1_000_000
+WORDS = 200_000
 #: Bytes of texts that are encoded together (or one longer text).
 TOGETHER = 8_000_000
 
@@ -69,10 +69,10 @@ def encoder(path: str):
                 parts[p] = np.array(tok.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids_of(words: list[str]) -> list[bytes]:
-        if len(words_) > WORDS:
-            words_.clear()
-        if len(parts) > WORDS:
-            parts.clear()
+        for known in (words_, parts):
+            if len(known) > WORDS:  # frequent words came early: they stay
+                for w in list(known)[WORDS // 2 :]:
+                    del known[w]
         new = [w for w in words if w not in words_]
         if new:
             cut_ = {w: m.groups() if "<|" not in w and (m := signs.fullmatch(w)) else (w,) for w in new}

@@ -13,14 +13,13 @@ settled from the partitions' first and last rows.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwell.llm._common import cut, map_texts
+from shardwell.llm._common import cut, map_texts, mix, word_hashes
 
 GRAM, WINDOW, MIN_WORDS = 8, 24, 50
 REACH = MIN_WORDS - WINDOW + 1
@@ -28,30 +27,11 @@ REACH = MIN_WORDS - WINDOW + 1
 RIGHT, LEFT = MIN_WORDS, WINDOW + 2
 #: Suffixes before it that one is compared with: neighbours agree longest to the right, but another may agree longer to the left.
 BACK = 16
-WORDS = 500_000
 
 _word = re.compile("[^\x20\x09-\x0d]+")
 _POW = np.random.default_rng(11).integers(1, 2**63, size=GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_hashes(text: str | None, cache: dict[bytes, int]) -> np.ndarray:
-    words = (text or "").encode("utf-8", "replace").split()
-    if len(cache) > WORDS:
-        cache.clear()
-    out = []
-    for w in words:
-        h = cache.get(w)
-        if h is None:
-            h = cache[w] = zlib.crc32(w)
-        out.append(h)
-    return np.array(out, dtype="<u4")
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
 def positions(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes of the REACH words from each) selected in one text; none if it is shorter than a passage."""
     n = len(words)
@@ -61,13 +41,13 @@ def positions(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(n - GRAM + 1, dtype=np.uint64)
     for i in range(GRAM):
         h += w[i : i + len(h)] * _POW[i]
-    h = _mix(h)
+    h = mix(h)
     view = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
     at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
     at = at[at + REACH <= n]
     f = np.zeros(len(at), dtype=np.uint64)
     for step in sorted({*range(0, REACH - GRAM + 1, GRAM), REACH - GRAM}):
-        f = _mix(f * np.uint64(0xFF51AFD7ED558CCD) + h[at + step])
+        f = mix(f * np.uint64(0xFF51AFD7ED558CCD) + h[at + step])
     return at.astype(np.int32), f.astype(np.int64)
 
 
