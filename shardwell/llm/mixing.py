@@ -90,7 +90,7 @@ def rates(cells: DataFrame, weights: tuple[float, ...], share: float, cap: int)
     for _ in range(ROUNDS):
         for _ in range(STEPS):
             state = _newton(state, cells, cap)
-        state = cut(state.coalesce(1), "mix-state")
+        state = cut(state, "mix-state", True)
         worst = state.filter("_free").agg(F.max("_off")).first()[0]
         if worst is None or worst < 1e-9:
             break

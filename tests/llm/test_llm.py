@@ -394,6 +394,8 @@ def test_near_duplicates_odd_tables(spark):
         classes[r.class_id].add(r.doc_id)
     assert classes[1] == {1} and classes[4] == {4, 5} and classes[2] == {2, 3, 6, None}
     assert neardup.near_duplicates(empty(spark)).count() == 0 and neardup.keep_one(empty(spark)).count() == 0
+    two = spark.createDataFrame([(1, "one two three four five six"), (1, "an other text of six words"), (None, "one two three four five six")], "doc_id long, text string")
+    assert sorted(r.text[:3] for r in neardup.keep_one(two).collect()) == ["an ", "one"]
     kept = neardup.keep_one(odd(spark))
     assert kept.columns == odd(spark).columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 4, 7]
 
