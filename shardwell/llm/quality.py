@@ -18,39 +18,47 @@ SAMPLE = 20_000
 TREES, DEPTH, BINS = 40, 3, 32
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Name to expression over a text column; every one is defined (0 or more) for null and empty texts."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    words = F.regexp_count(t, F.lit(WORD)).cast("double")
+#: Counted signs, as character classes.
+SIGNS = {
+    "white": r"[ \t\n\r]",
+    "symbols": r"[#*$%&<>@~^_=+{}\[\]\\]",
+    "bars": r"[|]",
+    "shouts": r"[!]",
+    "stops": r"[.?…]",
+    "commas": r"[,;:]",
+    "digits": r"[0-9]",
+    "capitals": r"[A-Z]",
+}
+NAMES = ("words", "word_length", "symbols", "bars", "shouts", "stops", "commas", "digits", "capitals", "line_words", "own_lines", "own_words")
+
+
+def _with(docs: DataFrame, text_col: str, keep: list[Column]) -> tuple[DataFrame, list[str]]:
+    """Statistics of each text as columns; every one is defined (0 or more) for null and empty texts.
+
+    Counts are columns of their own first, so that what several statistics need is counted once.
+    """
+    kept = [f"k{i}" for i in range(len(keep))]
+    names = docs.select(*keep).columns
+    rows = docs.select(*[c.alias(k) for c, k in zip(keep, kept)], F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    counts = {k: F.regexp_count("t", F.lit(v)).cast("double").alias(k) for k, v in SIGNS.items()}
+    lines, tokens = F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(x)) > 0), F.split(F.lower("t"), r"[\x20\x09-\x0D]+")
+    rows = rows.select(*kept, F.length("t").cast("double").alias("n"), F.regexp_count("t", F.lit(WORD)).cast("double").alias("words"), *counts.values(), lines.alias("lines"), tokens.alias("tokens"))
 
     def share(of: Column, by: Column) -> Column:
         return F.when(by > 0, of / by).otherwise(F.lit(0.0))
 
-    def having(chars: str) -> Column:
-        return (n - F.length(F.translate(t, chars, ""))).cast("double")
-
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(x)) > 0)
-    tokens = F.split(F.lower(t), r"[\x20\x09-\x0D]+")
-    return {
+    words, n, size = F.col("words"), F.col("n"), lambda c: F.size(c).cast("double")
+    stats = {
         "words": words,
-        "word_length": share(n - having(" \t\n\r"), words),
-        "symbols": share(having("#*$%&<>@~^_=+{}[]\\"), words),
-        "bars": share(having("|"), words),
-        "shouts": share(having("!"), words),
-        "stops": share(having(".?…"), words),
-        "commas": share(having(",;:"), words),
-        "digits": share(having("0123456789"), n.cast("double")),
-        "capitals": share(n - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")), n.cast("double")),
-        "line_words": share(words, F.size(lines).cast("double")),
-        "own_lines": share(F.size(F.array_distinct(lines)).cast("double"), F.size(lines).cast("double")),
-        "own_words": share(F.size(F.array_distinct(tokens)).cast("double"), F.size(tokens).cast("double")),
+        "word_length": share(n - F.col("white"), words),
+        **{k: share(F.col(k), words) for k in ("symbols", "bars", "shouts", "stops", "commas")},
+        **{k: share(F.col(k), n) for k in ("digits", "capitals")},
+        "line_words": share(words, size("lines")),
+        "own_lines": share(size(F.array_distinct("lines")), size("lines")),
+        "own_words": share(size(F.array_distinct("tokens")), size("tokens")),
     }
-
-
-def _with(docs: DataFrame, text_col: str, keep: list[Column]) -> tuple[DataFrame, list[str]]:
-    stats = statistics(F.col(text_col))
-    return docs.select(*keep, *[F.round(c, 6).alias(f"s_{k}") for k, c in stats.items()]), [f"s_{k}" for k in stats]
+    out = rows.select(*kept, *[F.round(stats[k], 6).alias(f"s_{k}") for k in NAMES])
+    return out.toDF(*names, *[f"s_{k}" for k in NAMES]), [f"s_{k}" for k in NAMES]
 
 
 def grow(x: np.ndarray, y: np.ndarray, seed: int = 3) -> list[tuple[tuple[int, float, bool], ...]]:
