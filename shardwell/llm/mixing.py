@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from shardwell.llm._common import cut, n_words
 
-#: Newton steps in one job, and jobs at most.
-STEPS, ROUNDS = 4, 8
+#: Newton steps at most; each is a job of its own, with a small plan.
+STEPS = 60
 #: Documents of one (source, size) that are ranked in one window group.
 GROUP = 1000
 
@@ -59,15 +59,14 @@ def _newton(state: DataFrame, cells: DataFrame, cap: int) -> DataFrame:
     """One safeguarded Newton step of every source's multiplier."""
     x = F.col("_size") / F.col("_scale")
     rate = _rate(F.col("_lam"), x, cap)
-    sums = (
+    s = (
         cells.join(state, "_k")
-        .groupBy("_k")
+        .groupBy(*state.columns)  # one row a source
         .agg(
             F.sum(F.col("_n") * F.col("_size") * rate).alias("_got"),
             F.sum(F.col("_n") * F.col("_size") * x * rate * (1 - rate / cap)).alias("_slope"),
         )
     )
-    s = state.join(sums, "_k")
     off = F.col("_got") - F.col("_t")
     lo = F.when(off < 0, F.col("_lam")).otherwise(F.col("_lo"))
     hi = F.when(off > 0, F.col("_lam")).otherwise(F.col("_hi"))
@@ -87,10 +86,8 @@ def rates(cells: DataFrame, weights: tuple[float, ...], share: float, cap: int)
         state.select("*", F.lit(-1e9).alias("_lo"), F.lit(1e9).alias("_hi"), F.lit(1.0).alias("_off"), F.lit(0.0).alias("_lam"), free.alias("_free")),
         "mix-state",
     )
-    for _ in range(ROUNDS):
-        for _ in range(STEPS):
-            state = _newton(state, cells, cap)
-        state = cut(state, "mix-state", True)
+    for _ in range(STEPS):
+        state = cut(_newton(state, cells, cap), "mix-state", True)
         worst = state.filter("_free").agg(F.max("_off")).first()[0]
         if worst is None or worst < 1e-9:
             break
