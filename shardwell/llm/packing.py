@@ -21,8 +21,8 @@ from shardwell.llm._common import cut
 
 #: Pieces of one length that are ranked in one window group.
 GROUP = 1000
-#: Distinct words whose ids a worker keeps at once.
-WORDS = 200_000
+#: Distinct parts of words whose ids a worker keeps in a task at most, and from one task to the next.
+PARTS, KEPT = 600_000, 100_000
 #: Bytes of texts that are encoded together (or one longer text).
 TOGETHER = 8_000_000
 
@@ -34,6 +34,12 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def forget(known: dict, most: int) -> None:
+    """Keep the ``most`` entries that came first."""
+    for k in list(known)[most:]:
+        del known[k]
+
+
 def encoder(path: str):
     """Function from an Arrow array of texts to (ids of all, where each text's ids start and the last ones end).
 
@@ -46,12 +52,13 @@ def encoder(path: str):
     import pyarrow.compute as pc
     import tokenizers
 
-    # a worker that is used again keeps its tokenizer and what it has encoded; both stay within WORDS entries
+    # a worker that is used again keeps its tokenizer and the parts that it met first, which frequent ones are among
     kept = tokenizers.__dict__.setdefault("_shardwell", {})
     if path not in kept:
         kept.clear()
-        kept[path] = (tokenizers.Tokenizer.from_file(path), {}, {})
-    tok, words_, parts = kept[path]
+        kept[path] = (tokenizers.Tokenizer.from_file(path), {})
+    tok, parts = kept[path]
+    forget(parts, KEPT)
     mark, mark_id = "<|endoftext|>", tok.token_to_id("<|endoftext|>")
     signs = re.compile(r"([^\W\d_]+)([!-@\[-`{-~][ -~]*)")
 
@@ -69,17 +76,13 @@ def encoder(path: str):
                 parts[p] = np.array(tok.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids_of(words: list[str]) -> list[bytes]:
-        for known in (words_, parts):
-            if len(known) > WORDS:  # frequent words came early: they stay
-                for w in list(known)[WORDS // 2 :]:
-                    del known[w]
-        new = [w for w in words if w not in words_]
+        if len(parts) > PARTS:
+            forget(parts, PARTS // 2)
+        split = [m.groups() if (m := signs.fullmatch(w)) and "<|" not in w else (w,) for w in words]
+        new = {p for ps in split for p in ps if p not in parts}
         if new:
-            cut_ = {w: m.groups() if "<|" not in w and (m := signs.fullmatch(w)) else (w,) for w in new}
-            learn(list({p for ps in cut_.values() for p in ps if p not in parts}))
-            for w, ps in cut_.items():
-                words_[w] = parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]]
-        return list(map(words_.__getitem__, words))
+            learn(list(new))
+        return [parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]] for ps in split]
 
     def encode(texts) -> tuple[np.ndarray, np.ndarray]:
         # taken, not sliced: Arrow's lower case reads a slice's offsets wrongly
