@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from shardwell.llm._common import cut_by, fold, mix
 
 #: Tokens of a block, n-grams of a shard (about), and the greatest discounted count.
-BLOCK, SHARD, KEEP = 1_000_000, 1_000_000, 5
+BLOCK, SHARD, KEEP = 600_000, 1_000_000, 5
 #: Key of the end token, which is also the history of a text's first word.
 END = 0
 
