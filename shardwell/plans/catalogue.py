@@ -553,11 +553,12 @@ def chunk_counts(spark, d):
 
 
 @query(
-    f"""WITH {t.DOCUMENTS} SELECT doc_id, CASE WHEN size < 1024 THEN size || ' B'
-  WHEN size / 1024.0 >= 10 OR size % 1024 = 0 THEN printf('%.0f KiB', size / 1024.0) ELSE printf('%.1f KiB', size / 1024.0) END AS shown FROM docs WHERE size < 1048576 AND size % 512 <> 0"""
+    f"""WITH {t.DOCUMENTS}, u AS (SELECT doc_id, size, CASE WHEN size < 1048576 THEN size / 1024.0 WHEN size < 1073741824 THEN size / 1048576.0 ELSE size / 1073741824.0 END AS v,
+  CASE WHEN size < 1048576 THEN 'KiB' WHEN size < 1073741824 THEN 'MiB' ELSE 'GiB' END AS unit FROM docs)
+SELECT doc_id, CASE WHEN size < 1024 THEN size || ' B' WHEN v >= 10 OR v = floor(v) THEN printf('%.0f', CAST(v AS DOUBLE)) || ' ' || unit ELSE printf('%.1f', CAST(v AS DOUBLE)) || ' ' || unit END AS shown FROM u"""
 )
 def format_sizes(spark, d):
-    return t.documents(spark, d).filter("size < 1048576 and size % 512 <> 0").select("doc_id", formats.format_bytes(F.col("size")).alias("shown"))
+    return t.documents(spark, d).select("doc_id", formats.format_bytes(F.col("size")).alias("shown"))
 
 
 @query("""SELECT event_id, CASE WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS age
