@@ -1,13 +1,13 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by sparse suffix positions.
 
-Suffixes are kept only at content-selected positions: the minimisers of windows of ``WINDOW`` word 8-grams.  Any passage of ``MIN_WORDS``
-words holds such a position in every text that has it, early enough to leave ``REACH`` words of the passage after it.  What a text repeats of itself is settled
-within the text.  Positions whose next ``REACH`` words occur in one text only are dropped; the other suffixes are sorted (over all partitions), neighbours are compared, and matches are
-extended to both sides.  Suffixes that chain to one another are a run; the earliest document of a run keeps the passage and the others
-lose exactly what they share with it.  Long passages hold many positions, and the union of their matches covers them.
+A passage is made of windows of ``MIN_WORDS`` words, and a window belongs to one position that its words select: the minimiser of its first
+``WINDOW`` word 8-grams, early enough to leave ``REACH`` words of the window after it.  Equal windows have their positions at the same word.
+What a text repeats of itself is settled within the text.  Positions whose next ``REACH`` words occur once only are dropped; the windows of
+the others are keyed by a 64-bit hash of all their words, and counts and first documents are aggregated by key.  A window with a count above
+one is repeated, and all documents but the first lose it; passages are the unions of such windows.  Nothing depends on how many documents
+share a position or a window.
 
-Copies collapse first: a text equal to an earlier document's is one passage.  Whether a run goes on over the end of a sorted partition is
-settled from the partitions' first and last rows.
+Copies collapse first: a text equal to an earlier document's is one passage.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,32 +22,43 @@ from shardwell.llm._common import cut, map_texts, mix, word_hashes
 
 GRAM, WINDOW, MIN_WORDS = 8, 24, 50
 REACH = MIN_WORDS - WINDOW + 1
-#: Words of context on each side of a position; the next position is at most WINDOW words on.
+#: Words of context on each side of a position that are compared within a text; the next position is at most WINDOW words on.
 RIGHT, LEFT = MIN_WORDS, WINDOW + 2
-#: Suffixes before it that one is compared with: neighbours agree longest to the right, but another may agree longer to the left.
-BACK = 16
 
 _word = re.compile("[^\x20\x09-\x0d]+")
 _POW = np.random.default_rng(11).integers(1, 2**63, size=GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_BASE = int(_POW[0]) & ~7 | 5
+_INVERSE = pow(_BASE, -1, 2**64)
 
-def positions(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes of the REACH words from each) selected in one text; none if it is shorter than a passage."""
+
+def positions(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes of the REACH words from each, which of them each window of MIN_WORDS belongs to); none if a text is shorter."""
     n = len(words)
     if n < MIN_WORDS:
-        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     w = words.astype(np.uint64) + np.uint64(1)
     h = np.zeros(n - GRAM + 1, dtype=np.uint64)
     for i in range(GRAM):
         h += w[i : i + len(h)] * _POW[i]
     h = mix(h)
-    view = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
-    at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
-    at = at[at + REACH <= n]
+    view = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[: n - MIN_WORDS + 1]
+    at, of = np.unique(view.argmin(axis=1) + np.arange(len(view)), return_inverse=True)
     f = np.zeros(len(at), dtype=np.uint64)
     for step in sorted({*range(0, REACH - GRAM + 1, GRAM), REACH - GRAM}):
         f = mix(f * np.uint64(0xFF51AFD7ED558CCD) + h[at + step])
-    return at.astype(np.int32), f.astype(np.int64)
+    return at.astype(np.int32), f.astype(np.int64), of
+
+
+def window_hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of the MIN_WORDS words from each place that has so many after it: differences of a running polynomial."""
+    n = len(words)
+    if n < MIN_WORDS:
+        return np.zeros(0, dtype=np.int64)
+    upto = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(mix(words.astype(np.uint64) + np.uint64(1)) * np.cumprod(np.full(n, _BASE, dtype=np.uint64)), out=upto[1:])
+    h = (upto[MIN_WORDS:] - upto[:-MIN_WORDS]) * np.cumprod(np.full(n - MIN_WORDS + 1, _INVERSE, dtype=np.uint64))
+    return mix(h).astype(np.int64)
 
 
 def repeats_within(words: np.ndarray, at: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
@@ -75,15 +85,6 @@ def repeats_within(words: np.ndarray, at: np.ndarray, f: np.ndarray) -> tuple[np
     return np.sort(first), _union(later), _union(earlier)
 
 
-def common(a: bytes, b: bytes) -> int:
-    """Words that two contexts have in common from their start."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 4
-    x, y = np.frombuffer(a[:n], "<u4"), np.frombuffer(b[:n], "<u4")
-    return int((x != y).argmax())
-
-
 def _anchors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_id, u (of the text), n, at, f of each row."""
 
@@ -94,7 +95,7 @@ def _anchors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             out: list[list] = [[], [], [], [], []]
             for t in rows:
                 w = word_hashes(t, cache)
-                at, f = positions(w)
+                at, f, _ = positions(w)
                 own, later, earlier = repeats_within(w, at, f)
                 spans = lambda x: [{"start": a, "end": b} for a, b in x]
                 for column, v in zip(out, (len(w), at[own], f[own], spans(later), spans(_union(later + earlier)))):
@@ -109,8 +110,8 @@ def _anchors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_texts(docs, [F.col(id_col).alias("_id"), F.unhex(F.md5(text)).alias("u")], text.alias("_text"), setup, fields)
 
 
-def _contexts(hits: DataFrame) -> DataFrame:
-    """u, f, id, pos, right, left for each hit; ``hits``: u, id, at, f, text."""
+def _windows(hits: DataFrame) -> DataFrame:
+    """u, id, s (starts) and w (hashes) of the windows that belong to the hits; ``hits``: u, id, at, text."""
 
     def run(batches):
         import pyarrow as pa
@@ -118,127 +119,47 @@ def _contexts(hits: DataFrame) -> DataFrame:
         cache: dict[bytes, int] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                w = word_hashes(batch.column(4)[i].as_py(), cache)
-                at, f = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                k = len(at)
-                right = [w[p + REACH : p + RIGHT].tobytes() for p in at]  # equal hashes: the words before are equal
-                left = [w[max(0, p - LEFT) : p][::-1].tobytes() for p in at]
-                same = pa.array([i] * k, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(same), batch.column(1).take(same), pa.array(at, pa.int32()), pa.array(f, pa.int64()), pa.array(right, pa.binary()), pa.array(left, pa.binary())],
-                    names=["u", "id", "pos", "f", "right", "left"],
-                )
+                words = word_hashes(batch.column(3)[i].as_py(), cache)
+                at, _, of = positions(words)
+                s = np.flatnonzero(np.isin(at, batch.column(2)[i].values.to_numpy())[of])
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), v) for v in (pa.array(s, pa.int32()), pa.array(window_hashes(words)[s]))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *lists], names=["u", "id", "s", "w"])
 
     kind = hits.schema["id"].dataType.simpleString()
-    return hits.select("u", "id", "at", "f", "text").mapInArrow(run, f"u binary, id {kind}, pos int, f long, right binary, left binary")
+    return hits.select("u", "id", "at", "text").mapInArrow(run, f"u binary, id {kind}, s array<int>, w array<long>")
 
 
-def _scan(rows: DataFrame) -> DataFrame:
-    """Compare neighbours of the sorted suffixes.
-
-    Adds run (a number within the partition, -1: no match), part, edge (1: first, 2: last, 3: both), lo and hi (the longest match with any
-    neighbour) and elo and ehi (the longest with an earlier document); lengths 0 where there is none.
-    """
+def _spans(found: DataFrame) -> DataFrame:
+    """u, repeated and removed from u and x, the list of a text's repeated windows: (s, gone, first)."""
 
     def run(batches):
         import pyarrow as pa
 
-        part = TaskContext.get().partitionId()
-        recent: list[dict] = []  # the last rows of one f
-        held: dict | None = None
-        runs = 0
-        first = True
-        names = ["u", "id", "pos", "f", "right", "left"]
-        out: list[dict] = []
+        def union(s, same) -> list[tuple[int, int]]:
+            """(first, last) index of the windows that touch one another and have the same first document."""
+            cuts = np.flatnonzero((np.diff(s) > MIN_WORDS) | (np.diff(same) != 0)) + 1
+            return list(zip([0, *cuts.tolist()], [*(cuts - 1).tolist(), len(s) - 1])) if len(s) else []
 
-        def rank(r):
-            return (r["id"] is not None, r["id"], r["u"], r["pos"])
+        for batch in batches:
+            out: list[list] = [[], []]
+            for i in range(batch.num_rows):
+                x = batch.column(1)[i].values
+                order = np.argsort(x.field("s").to_numpy(), kind="stable")
+                s, gone = x.field("s").to_numpy()[order], x.field("gone").to_numpy(zero_copy_only=False)[order]
+                out[0].append([{"start": int(s[a]), "end": int(s[b]) + MIN_WORDS} for a, b in union(s, np.zeros(len(s), dtype=np.int8))])
+                first = x.field("first").take(pa.array(order[gone])).dictionary_encode("encode")
+                s = s[gone]
+                code = first.indices.to_numpy(zero_copy_only=False)
+                out[1].append([{"start": int(s[a]), "end": int(s[b]) + MIN_WORDS, "first": first[a].as_py()} for a, b in union(s, code)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, to))], names=["u", "repeated", "removed"])
 
-        def note(r, length, lo, earlier):
-            if length > r["hi"] - r["lo"]:
-                r["lo"], r["hi"] = lo, lo + length
-            if earlier and length > r["ehi"] - r["elo"]:
-                r["elo"], r["ehi"] = lo, lo + length
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                r |= {"run": -1, "part": part, "edge": 0, "lo": 0, "hi": 0, "elo": 0, "ehi": 0}
-                if first:
-                    r["edge"], first = 1, False
-                if recent and recent[-1]["f"] != r["f"]:
-                    recent.clear()
-                for o in reversed(recent):
-                    a, b = common(r["left"], o["left"]), REACH + common(r["right"], o["right"])
-                    if a + b >= MIN_WORDS:
-                        if o["run"] < 0:
-                            o["run"] = runs
-                            runs += 1
-                        if r["run"] < 0:
-                            r["run"] = o["run"]
-                        after = rank(o) < rank(r)
-                        note(r, a + b, r["pos"] - a, after)
-                        note(o, a + b, o["pos"] - a, not after)
-                        if a + b == LEFT + RIGHT:
-                            break
-                recent.append(r)
-                if len(recent) > BACK:
-                    recent.pop(0)
-                out.append(r)
-            if len(out) > 4096:  # rows that a later one can still change stay
-                done, out = out[:-BACK], out[-BACK:]
-                done = [x for x in done if x["run"] >= 0 or x["edge"]]
-                yield pa.RecordBatch.from_pylist(done, schema=to)
-        if out:
-            out[-1]["edge"] += 2
-            yield pa.RecordBatch.from_pylist([x for x in out if x["run"] >= 0 or x["edge"]], schema=to)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
-    schema = StructType([*rows.schema.fields, *[StructField(n, IntegerType()) for n in ("run", "part", "edge", "lo", "hi", "elo", "ehi")]])
-    to = to_arrow_schema(schema)
-    return rows.mapInArrow(run, schema)
-
-
-def _joined_runs(scanned: DataFrame) -> tuple[list[tuple[int, int, int]], list[dict]]:
-    """Runs that go on over the end of a partition, as (part, run, run id), and matches found there; from two rows a partition."""
-    edges = [r.asDict() for r in scanned.filter("edge > 0").collect()]  # at most two a partition
-    by: dict[int, dict] = {}
-    for r in edges:
-        e = by.setdefault(r["part"], {})
-        if r["edge"] & 1:
-            e["first"] = r
-        if r["edge"] & 2:
-            e["last"] = r
-    root: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def find(x):
-        while root.get(x, x) != x:
-            x = root[x]
-        return x
-
-    extra, fresh = [], 0
-    parts = sorted(by)
-    alone: dict[tuple, tuple[int, int]] = {}
-    for p, q in zip(parts, parts[1:]):
-        a, b = by[p].get("last"), by[q].get("first")
-        if not a or not b or a["f"] != b["f"]:
-            continue
-        l, r = common(a["left"], b["left"]), REACH + common(a["right"], b["right"])
-        if l + r < MIN_WORDS:
-            continue
-        keys = []
-        for x in (a, b):
-            me = (x["part"], x["run"]) if x["run"] >= 0 else alone.get((x["u"], x["pos"], x["f"]))
-            if me is None:
-                fresh += 1
-                me = alone[(x["u"], x["pos"], x["f"])] = (-1, fresh)
-            keys.append(me)
-            extra.append({**x, "lo": x["pos"] - l, "hi": x["pos"] + r, "key": me})
-        root[find(keys[1])] = find(keys[0])
-    named = {x for x in root} | {find(x) for x in root}
-    number = {x: -(i + 1) for i, x in enumerate(sorted({find(x) for x in named}))}
-    return [(x[0], x[1], number[find(x)]) for x in named], [{**e, "run_id": number[find(e["key"])]} for e in extra]
+    kind = found.schema["x"].dataType.elementType["first"].dataType.simpleString()
+    schema = StructType.fromDDL(f"u binary, repeated array<struct<start:int,end:int>>, removed array<struct<start:int,end:int,first:{kind}>>")
+    to = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
+    return found.select("u", "x").mapInArrow(run, schema)
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,58 +168,23 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``repeated``: (start, end) in words of the passages that another place of the corpus holds too; ``removed``: those that an earlier
     document (by id, then text) holds, with that document's id.  A text's further copies are not rows: all their words are repeated.
     """
-    spark = docs.sparkSession
     rows = cut(_anchors(docs, id_col, text_col), "passage-rows")
     texts = rows.groupBy("u").agg(*_first("_id"), F.first("n").alias("n"), F.first("at").alias("at"), F.first("f").alias("f"), F.first("later").alias("later"), F.first("own").alias("own")).withColumnRenamed("_first_id", "id")
     texts = cut(texts, "passage-texts")
     each = texts.select("u", "id", F.explode(F.arrays_zip("at", "f")).alias("x")).select("u", "id", F.col("x.at").alias("at"), F.col("x.f").alias("f"))
     often = each.groupBy("f").agg(F.count("*").alias("k")).filter("k > 1").select("f")
-    hits = each.join(often, "f").groupBy("u", "id").agg(F.collect_list(F.struct("at", "f")).alias("x"))  # bounded by the text
-    hits = cut(hits.select("u", "id", F.col("x.at").alias("at"), F.col("x.f").alias("f")), "passage-hits")
+    hits = each.join(often, "f").groupBy("u", "id").agg(F.collect_list("at").alias("at"))  # bounded by the text
+    hits = cut(hits, "passage-hits")
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("u", F.unhex(F.md5("text")))
-    found = source.join(hits, (source["u"] == hits["u"]) & source["id"].eqNullSafe(hits["id"])).select(source["u"], source["id"], "at", "f", "text")
+    found = source.join(hits, (source["u"] == hits["u"]) & source["id"].eqNullSafe(hits["id"])).select(source["u"], source["id"], "at", "text")
     # rows equal in id and text are in one partition already
-    suffixes = cut(_contexts(found.dropDuplicates(["u", "id"])), "passage-suffixes")
-    order = ["f", "right", "left", "id", "u", "pos"]
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    scanned = cut(_scan(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)), "passage-scan")
-    joined, extra = _joined_runs(scanned)
-    base = scanned.filter("run >= 0").withColumn("run_id", F.col("part").cast("long") * F.lit(2**31) + F.col("run"))
-    columns = ["run_id", "u", "id", "pos", "right", "left", "lo", "hi", "elo", "ehi"]
-    if joined:
-        names = spark.createDataFrame(joined, "part int, run int, joined long")  # at most two rows a partition
-        base = base.join(F.broadcast(names), ["part", "run"], "left").withColumn("run_id", F.coalesce("joined", "run_id"))
-        more = spark.createDataFrame([(e["run_id"], e["u"], e["id"], e["pos"], e["right"], e["left"], e["lo"], e["hi"], 0, 0) for e in extra], base.select(*columns).schema)
-        base = base.select(*columns).unionByName(more)
-    base = base.select(*columns)
-    lead = base.groupBy("run_id").agg(F.min(F.struct(F.col("id").isNotNull().alias("k"), "id", "u", "pos", "right", "left")).alias("lead"))
-    every = base.join(lead, "run_id")
-
-    def settle(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                o = r["lead"]
-                out.append((r["u"], r["lo"], r["hi"], r["elo"], r["ehi"], o["id"]))
-                if (o["u"], o["pos"]) != (r["u"], r["pos"]):
-                    a, b = common(r["left"], o["left"]), REACH + common(r["right"], o["right"])
-                    if a + b >= MIN_WORDS:
-                        out.append((r["u"], r["pos"] - a, r["pos"] + b, r["pos"] - a, r["pos"] + b, o["id"]))
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int32()) for c in cols[1:5]), pa.array(cols[5], batch.schema.field("id").type)],
-                names=["u", "lo", "hi", "rlo", "rhi", "first"],
-            )
-
-    kind = texts.schema["id"].dataType.simpleString()
-    spans = every.select("u", "id", "pos", "right", "left", "lo", "hi", "elo", "ehi", "lead").mapInArrow(settle, f"u binary, lo int, hi int, rlo int, rhi int, first {kind}")
-    gathered = spans.groupBy("u").agg(
-        F.array_sort(F.collect_set(F.struct(F.col("lo").alias("start"), F.col("hi").alias("end")))).alias("repeated"),
-        F.array_sort(F.collect_set(F.when(F.col("rhi") > F.col("rlo"), F.struct(F.col("rlo").alias("start"), F.col("rhi").alias("end"), "first")))).alias("removed"),
-    )  # bounded by the text
+    windows = cut(_windows(found.dropDuplicates(["u", "id"])), "passage-windows")
+    windows = windows.select("u", "id", F.explode(F.arrays_zip("s", "w")).alias("x")).select("u", "id", F.col("x.s").alias("s"), F.col("x.w").alias("w"))
+    lead = windows.groupBy("w").agg(F.count("*").alias("k"), F.min(F.struct(F.col("id").isNotNull().alias("k"), "id", "u")).alias("lead")).filter("k > 1")
+    shared = windows.join(lead, "w").select("u", F.struct("s", (F.col("u") != F.col("lead.u")).alias("gone"), F.col("lead.id").alias("first")).alias("x"))
+    gathered = _spans(shared.groupBy("u").agg(F.collect_list("x").alias("x")))  # bounded by the text
     # with what the text repeats of itself
+    kind = texts.schema["id"].dataType.simpleString()
     none = F.array().cast("array<struct<start:int,end:int>>")
     kept = F.array().cast(f"array<struct<start:int,end:int,first:{kind}>>")
     own = F.transform("later", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.col("id").alias("first")))

@@ -461,6 +461,25 @@ def test_a_run_over_many_partitions_keeps_one(spark):
     assert all(r.n_repeated == 70 for r in rows) and all(r.seen_in == [0] for r in rows if r.doc_id)
 
 
+def check_passages(spark, texts):
+    rep, gone = brute(texts)
+    for r in passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        for spans, want in ((r.repeated, rep), (r.removed, gone)):
+            x = np.zeros(r.n_words, bool)
+            for s in spans:
+                x[s.start : s.end] = True
+            assert (x == want[r.doc_id]).all(), r.doc_id
+
+
+def test_shared_words_before_a_hot_stretch(spark):
+    rng = random.Random(9)
+    new = lambda n: [f"w{rng.random()}" for _ in range(n)]
+    hot, pairs = new(45), [new(10) for _ in range(15)]
+    texts = {k: " ".join(new(30) + (pairs[k % 20] if k % 20 < 15 and k < 40 else new(10)) + hot + new(30)) for k in range(400)}
+    assert sum(x.any() for x in brute(texts)[1].values()) == 15
+    check_passages(spark, texts)
+
+
 def test_passages_odd_tables(spark):
     got = passages.repeated_passages(odd(spark)).collect()
     assert len(got) == 10
