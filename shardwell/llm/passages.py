@@ -2,8 +2,8 @@
 
 A passage is made of windows of ``MIN_WORDS`` words, and a window belongs to one position that its words select: the minimiser of its first
 ``WINDOW`` word 8-grams, early enough to leave ``REACH`` words of the window after it.  Equal windows have their positions at the same word.
-What a text repeats of itself is settled within the text.  Positions whose next ``REACH`` words occur once only are dropped; the windows of
-the others are keyed by a 64-bit hash of all their words, and counts and first documents are aggregated by key.  A window with a count above
+What a text repeats of itself is settled within the text, by the same hashes; positions without a window that is new in the text are left
+out.  Positions whose next ``REACH`` words occur once only are dropped; the windows of the others are keyed by a 64-bit hash of all their words, and counts and first documents are aggregated by key.  A window with a count above
 one is repeated, and all documents but the first lose it; passages are the unions of such windows.  Nothing depends on how many documents
 share a position or a window.
 
@@ -22,8 +22,6 @@ from shardwell.llm._common import cut, map_texts, mix, word_hashes
 
 GRAM, WINDOW, MIN_WORDS = 8, 24, 50
 REACH = MIN_WORDS - WINDOW + 1
-#: Words of context on each side of a position that are compared within a text; the next position is at most WINDOW words on.
-RIGHT, LEFT = MIN_WORDS, WINDOW + 2
 
 _word = re.compile("[^\x20\x09-\x0d]+")
 _POW = np.random.default_rng(11).integers(1, 2**63, size=GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,28 +59,15 @@ def window_hashes(words: np.ndarray) -> np.ndarray:
     return mix(h).astype(np.int64)
 
 
-def repeats_within(words: np.ndarray, at: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
-    """(places of the first of each hash, spans of later ones, spans of what they repeat): passages that a text repeats itself.
+def repeats_within(words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
+    """(positions that hold a window for the first time, spans of windows that an earlier place holds, spans of what they repeat).
 
-    Each later place is compared with the first, as far as the contexts go; the union over neighbouring places covers a passage.
+    ``of``: the position of each window.  Only the first place of a window has to be looked for in other texts: later ones go anyway.
     """
-    _, first, back = np.unique(f, return_index=True, return_inverse=True)
-    later, earlier = [], []
-    n = len(words)
-    for i in np.flatnonzero(first[back] != np.arange(len(f))):
-        p, q = int(at[i]), int(at[first[back[i]]])
-        if at[i] < at[first[back[i]]]:
-            continue
-        most = min(RIGHT, n - p)
-        differ = words[p : p + most] != words[q : q + most]
-        r = int(differ.argmax()) if differ.any() else most
-        most = min(LEFT, q)
-        differ = words[p - most : p][::-1] != words[q - most : q][::-1]
-        back_ = int(differ.argmax()) if most and differ.any() else most
-        if back_ + r >= MIN_WORDS:
-            later.append((p - back_, p + r))
-            earlier.append((q - back_, q + r))
-    return np.sort(first), _union(later), _union(earlier)
+    _, first, back, count = np.unique(window_hashes(words), return_index=True, return_inverse=True, return_counts=True)
+    later = first[back] != np.arange(len(of))
+    spans = lambda s: _union([(a, a + MIN_WORDS) for a in s.tolist()])
+    return np.unique(of[~later]), spans(np.flatnonzero(later)), spans(first[count > 1])
 
 
 def _anchors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -95,8 +80,8 @@ def _anchors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             out: list[list] = [[], [], [], [], []]
             for t in rows:
                 w = word_hashes(t, cache)
-                at, f, _ = positions(w)
-                own, later, earlier = repeats_within(w, at, f)
+                at, f, of = positions(w)
+                own, later, earlier = repeats_within(w, of)
                 spans = lambda x: [{"start": a, "end": b} for a, b in x]
                 for column, v in zip(out, (len(w), at[own], f[own], spans(later), spans(_union(later + earlier)))):
                     column.append(v)

@@ -480,6 +480,18 @@ def test_shared_words_before_a_hot_stretch(spark):
     check_passages(spark, texts)
 
 
+def test_later_places_of_a_stretch_in_one_text(spark):
+    rng = random.Random(10)
+    new = lambda n: [f"w{rng.random()}" for _ in range(n)]
+    texts = {}
+    for k in range(0, 60, 3):
+        s, before, more = new(40), new(15), new(20)
+        texts[k] = " ".join(new(60) + before + s + new(60))
+        texts[k + 1] = " ".join(new(60) + s + new(60) + before + s + new(60))  # the second place shares more with another text
+        texts[k + 2] = " ".join(new(60) + s[:40] + new(60) + s + more + new(60) + s + more + new(60))  # and the third with the second
+    check_passages(spark, texts)
+
+
 def test_passages_odd_tables(spark):
     got = passages.repeated_passages(odd(spark)).collect()
     assert len(got) == 10
