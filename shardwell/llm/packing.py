@@ -165,7 +165,7 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> tuple[list[tuple[in
     """(ranges, sequences).  A range: length, first rank, ranks, pieces a sequence, first sequence, offset.
 
     Exact complements first, from the longest length down: a single length equal to the gap, then a pair, then a triple; each is used as
-    often as the counts allow.  Then best fit: each length left, from the longest, goes to the open sequences with the smallest gap that
+    often as the counts allow, until no available lengths make up the gap.  Then best fit: each length left, from the longest, goes to the open sequences with the smallest gap that
     takes it.
     """
     c = np.zeros(capacity + 1, dtype=np.int64)
@@ -193,6 +193,25 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> tuple[list[tuple[in
         ok = np.flatnonzero((c[b] > 0) & (c[gap - b] > np.where(2 * b == gap, 1, 0)))
         return (int(b[ok[0]]), int(gap - b[ok[0]])) if len(ok) else None
 
+    def triple(gap: int, most: int) -> tuple[int, int, int] | None:
+        """Three available lengths that make up the gap, the longest as long as can be: every available one is tried.
+
+        Bit x of an integer says whether x is available, so one shift and one AND tell whether any two make up what is left.
+        """
+        there = c > 0
+        bits = int.from_bytes(np.packbits(there, bitorder="little").tobytes(), "little")
+        mirrored = int.from_bytes(np.packbits(there[::-1], bitorder="little").tobytes(), "little")  # bit x: capacity - x
+        for a in (np.flatnonzero(there[: max(0, min(gap - 2, most) + 1)])[::-1]).tolist():
+            if 3 * a < gap:
+                break
+            if bits & (mirrored >> (capacity - gap + a)):
+                c[a] -= 1
+                found = pair(gap - a, a)
+                c[a] += 1
+                if found:
+                    return (a, *found)
+        return None
+
     if c[capacity]:
         take(capacity)
     for length in range(capacity - 1, 0, -1):
@@ -206,22 +225,15 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> tuple[list[tuple[in
             if found and take(length, *found):
                 continue
             break
-        tried = 0
-        while c[length] > 0 and tried < 64:  # triples: the longest of the three first
-            gap = capacity - length
+        gap, most = capacity - length, length
+        while c[length] > 0:  # triples: the longest of the three first
             c[length] -= 1
-            found = None
-            firsts = np.flatnonzero(c[1 : min(gap - 1, length + 1)])[::-1] + 1
-            for a in firsts[:256]:
-                c[a] -= 1
-                found = pair(gap - int(a), int(a))
-                c[a] += 1
-                if found:
-                    break
+            found = triple(gap, most)
             c[length] += 1
-            tried += 1
-            if not (found and take(length, int(a), *found)):
+            if not found:
                 break
+            take(length, *found)
+            most = found[0]  # longer ones found nothing, and less is available now
     # best fit of the rest: open sequences by gap; each entry is (pieces so far, how many such sequences)
     open_: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}
     gaps = np.zeros(capacity + 1, dtype=bool)

@@ -183,6 +183,15 @@ def test_exact_complements_are_found():
     assert packing.plan_sequences({4: 1, 3: 1, 2: 1, 1: 1}, 10)[1] == 1
 
 
+def test_triples_are_found_whatever_their_first():
+    # the first of the three lies beyond 256 longer lengths that fit nothing
+    longer = {k: 1 for k in range(1002, 1602, 2)}
+    ranges, _ = packing.plan_sequences({2400: 1, 1000: 1, 397: 1, 299: 1, **longer}, 4096)
+    assert len({r[4] for r in ranges if r[0] in (2400, 1000, 397, 299)}) == 1
+    # more than 64 triples for one length
+    assert packing.plan_sequences({2000: 100, 300: 100, **{1500 + i: 1 for i in range(100)}, **{296 - i: 1 for i in range(100)}}, 4096)[1] == 100
+
+
 def test_pack_odd_tables(spark):
     rows = packing.pack(odd(spark)).collect()
     check_packing(rows, 4096)
