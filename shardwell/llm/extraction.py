@@ -1,7 +1,7 @@
 """Main text of HTML pages by maximum-scoring subsequence.
 
 A page is read as a sequence of words and tags.  Elements that are boilerplate by their name, role or class count as one tag each and
-their words don't count.  Words score positive, tags negative; the weights are learned by a perceptron on pages that label their own
+their words don't count; an element ends where HTML ends it, and one that is never ended is a tag alone.  Words score positive, tags negative; the weights are learned by a perceptron on pages that label their own
 content (an ``article`` or ``main`` element), so that the best contiguous region is the labelled one.  One linear scan finds a page's
 region of greatest score, and its blocks are the text.
 """
@@ -31,6 +31,22 @@ BLOCK = frozenset(
 )
 SPACE = frozenset("br td th option".split())
 BOILER = frozenset("nav footer aside form head menu dialog button select".split())
+#: Elements whose end tag is optional: the end of what they lie in ends them too.
+OPTIONAL = frozenset("p li dt dd option optgroup td th tr thead tbody tfoot colgroup caption head body html rt rp".split())
+#: What ends at the start of an element of a name, unless one of the last names was opened since.
+_TABLE, _LIST = ("table",), ("ul", "ol", "menu", "dir", "table", "td", "th", "section", "article", "main", "aside", "nav", "blockquote", "form", "fieldset", "details")
+_ENDS = {
+    "li": (("li",), _LIST),
+    **dict.fromkeys(("dt", "dd"), (("dt", "dd"), ("dl", *_LIST))),
+    "option": (("option",), ("select", "datalist")),
+    "optgroup": (("option", "optgroup"), ("select",)),
+    **dict.fromkeys(("td", "th"), (("td", "th"), _TABLE)),
+    "tr": (("td", "th", "tr", "caption", "colgroup"), _TABLE),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (("td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"), _TABLE)),
+}
+_ENDS_P = BLOCK - frozenset("body caption head html legend tbody tfoot thead tr".split())
+_P_WITHIN = ("button", "caption", "table", "td", "th")
+_IN_HEAD = frozenset("base html link meta".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _attr = re.compile(r"([\w:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _boiler_name = re.compile(
@@ -60,35 +76,99 @@ def is_boiler(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+def _ends(html: str, tags: list[re.Match]) -> dict[int, tuple[int, int]]:
+    """Where each element ends: by the number of its start tag, (the tag to go on with, place in the page); none for one that nothing ends.
+
+    An element ends at its own end tag, at the start of another that HTML lets end it, or, if its end tag is optional or comes later, at the
+    end tag of an element around it.
+    """
+    found: dict[int, tuple[int, int]] = {}
+    stack: list[tuple[str, int]] = []
+    opened: dict[str, list[int]] = {}  # places in the stack by name
+    blocks: list[int] = []
+    late: dict[str, list[tuple[int, tuple[int, int]]]] = {}  # ended from outside without an end tag so far
+
+    def last(*names: str) -> int:
+        return max((opened[x][-1] for x in names if opened.get(x)), default=-1)
+
+    def close(k: int, end: tuple[int, int], own: tuple[int, int] | None = None) -> None:
+        """End what lies from place ``k`` of the stack on; ``own``: where the element at ``k`` ends."""
+        while len(stack) > k:
+            name, i = stack.pop()
+            opened[name].pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+            if len(stack) == k and own:
+                found[i] = own
+            elif name in OPTIONAL:
+                found[i] = end
+            else:
+                late.setdefault(name, []).append((i, end))
+
+    for j, m in enumerate(tags):
+        before = tags[j - 1].end() if j else 0
+        if stack and stack[-1][0] == "head" and html[before : m.start()].strip():
+            close(len(stack) - 1, (j, before))
+        name = (m[3] or "").lower()
+        if not name:
+            continue
+        here = (j, m.start())
+        if m[2]:
+            k = last(name)
+            if k < 0:
+                if late.get(name):
+                    i, end = late[name].pop()
+                    found[i] = end
+            elif name in BLOCK or name in SPACE or name in BOILER or not blocks or blocks[-1] < k:  # an inline end tag ends no block
+                close(k, here, (j + 1, m.end()))
+            continue
+        if name not in _IN_HEAD and last("head") >= 0:
+            close(last("head"), here, here)
+        if name in _ENDS_P and last("p") > last(*_P_WITHIN):
+            close(last("p"), here, here)
+        if name in _ENDS:
+            ended, within = _ENDS[name]
+            wall = last(*[x for x in within if x != name])
+            k = min((opened[x][-1] for x in ended if opened.get(x) and opened[x][-1] > wall), default=-1)
+            if k >= 0:
+                close(k, here, here)
+        if name not in VOID and not m[4].endswith("/"):
+            if name in BLOCK:
+                blocks.append(len(stack))
+            opened.setdefault(name, []).append(len(stack))
+            stack.append((name, j))
+    for name, i in stack:
+        if name == "p":  # the page's end ends it
+            found[i] = (len(tags), len(html))
+    return found
+
+
 def sequence(html: str) -> list[tuple[str, object]]:
     """('word', text) for stretches of text, ('tag', name or /name) and ('boiler', name) in page order."""
     out: list[tuple[str, object]] = []
-    at, skip, depth, inside = 0, "", 0, 0
-    for m in _markup.finditer(html):
-        if not skip and m.start() > at:
+    tags = list(_markup.finditer(html))
+    ends = _ends(html, tags)
+    at, j, inside = 0, 0, 0
+    while j < len(tags):
+        m = tags[j]
+        if m.start() > at:
             out.append(("word", _html.unescape(html[at : m.start()])))
-        at = m.end()
+        i, at, j = j, m.end(), j + 1
         name = (m[3] or "").lower()
         if not name:
             continue
-        if skip:  # within boilerplate: only its own end counts, nested elements of the same name paired off
-            if name == skip and name not in VOID:
-                depth += -1 if m[2] else (0 if m[4].endswith("/") else 1)
-                if depth <= 0:
-                    skip = ""
-            continue
         if m[2]:
             inside -= name in ("article", "main")
             out.append(("tag", "/" + name))
             continue
         if name not in VOID and is_boiler(name, m[4], inside > 0):
             out.append(("boiler", name))
-            if not m[4].endswith("/"):
-                skip, depth = name, 1
+            if not m[4].endswith("/") and i in ends:
+                j, at = ends[i]
             continue
         inside += name in ("article", "main")
         out.append(("tag", name))
-    if not skip and at < len(html):
+    if at < len(html):
         out.append(("word", _html.unescape(html[at:])))
     return out
 

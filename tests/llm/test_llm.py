@@ -260,6 +260,37 @@ def test_extract_page():
     assert extraction.text_of(PAGE, {}) == "Title & more\n\nFirst paragraph with a break.\n\nSecond <one> é.\n\nThird, unclosed"
 
 
+ARTICLE = " ".join(f"word{i}" for i in range(80))
+
+
+@pytest.mark.parametrize(
+    "html, dropped",
+    [
+        (f"<body><p class=share>Share this<p>{ARTICLE}</body>", True),
+        (f"<body><p class=share>Share this<div>{ARTICLE}</div></body>", True),
+        (f"<html><head><meta charset=u><title>T</title><body><p>{ARTICLE}</p></body></html>", True),
+        (f"<head><title>T</title><p>{ARTICLE}", True),
+        (f"<head><title>T</title>{ARTICLE}", True),
+        (f"<ul><li class=share>Share this<li>{ARTICLE}</ul>", True),
+        (f"<ul><li class=share>Share this</ul><p>{ARTICLE}</p>", True),
+        (f"<dl><dt class=share>Share this<dd>{ARTICLE}</dl>", True),
+        (f"<table><tr><td class=sidebar>Share this<td>{ARTICLE}</table>", True),
+        (f"<table><tr class=sidebar><td>Share this<tr><td>{ARTICLE}</table>", True),
+        (f"<select><option>Share this</select><p>{ARTICLE}</p>", True),
+        (f"<div><aside>Share this</div><p>{ARTICLE}</p></aside>", True),
+        (f"<body><aside>Share this<p>{ARTICLE}</p></body>", False),
+        (f"<body><form action=x>Share this<div>{ARTICLE}</div></body>", False),
+        (f"<div class=sidebar><div>Share this</div><p>{ARTICLE}</p>", False),
+        (f"<aside><div><aside>Share this</aside>Share this</div></aside><p>{ARTICLE}</p>", True),
+    ],
+)
+def test_boilerplate_ends_where_html_ends_it(html, dropped):
+    got = extraction.text_of(html, {})
+    assert ARTICLE in got
+    if dropped:
+        assert got == ARTICLE
+
+
 def test_extract_the_table(spark):
     import html
     import re
