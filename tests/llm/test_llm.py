@@ -544,32 +544,93 @@ def test_passages_odd_tables(spark):
 # 8 language model
 
 
-def test_katz_is_the_brute_force_model(spark, docs):
-    rows = [(r.doc_id, [*katz.tokens(r.text), None]) for r in docs.collect()]
+class Katz:
+    """The backoff model by its definition, one dictionary an order."""
+
+    def __init__(self, train, most):
+        self.most = most
+        pads = [[None] * (most - 1) + t for t in train]
+        self.count = {n: Counter(tuple(t[i - n + 1 : i + 1]) for t in pads for i in range(most - 1, len(t))) for n in range(1, most + 1)}
+        self.after = {n: defaultdict(list) for n in range(1, most + 1)}
+        for n in range(2, most + 1):
+            for g in self.count[n]:
+                self.after[n][g[:-1]].append(g[-1])
+        self.n = sum(self.count[1].values())
+        self.d = {n: katz.discounts([sum(c == k for c in x.values()) for k in range(1, 7)]) for n, x in self.count.items()}
+        self.unknown = 1 - sum(self.kept(1, g) for g in self.count[1]) / self.n
+        self.weights = {}
+
+    def kept(self, n, g):
+        c = self.count[n][g]
+        return c * (self.d[n][c] if c <= 5 else 1)
+
+    def total(self, h):
+        """What a history's counts are divided by: one more than they sum to if none is discounted."""
+        n = len(h) + 1
+        c = sum(self.count[n][(*h, w)] for w in self.after[n][h])
+        return c, c + (sum(self.kept(n, (*h, w)) for w in self.after[n][h]) > c - 1e-6)
+
+    def weight(self, h):
+        if h not in self.weights:
+            n = len(h) + 1
+            left = 1 - sum(self.kept(n, (*h, w)) for w in self.after[n][h]) / self.total(h)[1]
+            rest = 1 - sum(self.p(h[1:], w) for w in self.after[n][h])
+            self.weights[h] = left / rest if rest > 1e-12 else 1.0
+        return self.weights[h]
+
+    def p(self, h, w):
+        n = len(h) + 1
+        if n == 1:
+            return self.kept(1, (w,)) / self.n if self.count[1][(w,)] else self.unknown
+        if not self.after[n][h]:
+            return self.p(h[1:], w)
+        if self.count[n][(*h, w)]:
+            return self.kept(n, (*h, w)) / self.total(h)[1]
+        return self.weight(h) * self.p(h[1:], w)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_is_the_brute_force_model(spark, docs, order):
+    rows = [(r.doc_id, [*katz.tokens(r.text), None]) for r in docs.limit(60).collect()]
     train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
-    uni, bi = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([None, *t], t))
-    n, v = sum(uni.values()), len(uni)
-    d1, d2 = (katz.discounts([sum(c == k for c in x.values()) for k in range(1, 7)]) for x in (uni, bi))
-    kept = lambda c, d: c * (d[c] if c <= 5 else 1)
-    unknown = 1 - sum(kept(c, d1) for c in uni.values()) / n
-    p1 = lambda w: kept(uni[w], d1) / n if uni[w] else unknown
-    mass, lower = defaultdict(float), defaultdict(float)
-    for (h, w), c in bi.items():
-        mass[h] += kept(c, d2)
-        lower[h] += p1(w)
-    total = lambda h: uni[h] + (mass[h] > uni[h] - 1e-6)
-    back = lambda h: (1 - mass[h] / total(h)) / (1 - lower[h]) if uni[h] else 1.0
-    p = lambda h, w: kept(bi[h, w], d2) / total(h) if bi[h, w] else back(h) * p1(w)
-    for h in [None, *list(uni)[:20]]:  # every history's probabilities, the unknown word's included, sum to one
-        assert math.isclose(sum(p(h, w) for w in uni) + (back(h) * unknown), 1.0, rel_tol=1e-9)
-    got = {r.doc_id: r for r in katz.score(docs).collect()}
+    model = Katz(train, order)
+    uni, n, v = model.count[1], model.n, len(model.count[1])
+    for h in [(None,) * (order - 1), *[t[k : k + order - 1] for t in map(tuple, train[:6]) for k in (0, 5)]]:
+        if None not in h[1:] and len(h) == order - 1:  # every history's probabilities, the unknown word's included, sum to one
+            assert math.isclose(sum(model.p(h, w[0]) for w in uni) + model.p(h, "no such word"), 1.0, rel_tol=1e-9)
+    got = {r.doc_id: r for r in katz.score(docs.filter(F.col("doc_id").isin([i for i, _ in rows])), order=order).collect()}
     assert len(got) == len(rows)
     for i, t in rows:
         r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(uni[w] > 0 for w in t), n, zlib.crc32(str(i).encode()) % 5 == 1)
-        assert math.isclose(r.base_score, sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(h, w)) for h, w in zip([None, *t], t)), rel_tol=1e-9)
-    assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(uni[w,] > 0 for w in t), n, zlib.crc32(str(i).encode()) % 5 == 1)
+        assert math.isclose(r.base_score, sum(math.log10((uni[w,] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel_tol=1e-9)
+        padded = [None] * (order - 1) + t
+        want = sum(math.log10(model.p(tuple(padded[k : k + order - 1]), w)) for k, w in enumerate(t))
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_beats_unigrams_on_held_out_texts(spark, docs, order):
+    got = katz.score(docs, order=order).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
+def test_katz_discounts_are_good_turing_on_the_tables(spark):
+    """No order falls back: the factors are those of the tables' own counts of counts, between 0 and 1 and rising with the count."""
+    rows = [[*katz.tokens(r.text), None] for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    for n in (1, 2, 3):
+        c = Counter(tuple(p[i : i + n]) for t in rows for p in [[None] * (n - 1) + t] for i in range(len(t)))
+        low = [sum(x == k for x in c.values()) for k in range(1, 7)]
+        d = katz.discounts(low)[1:]
+        assert all(0 < x < 1 for x in d) and d == sorted(d)
+        star = 2 * low[1] / low[0]  # Turing's estimate for what is seen once, which the smoothed one is near to
+        assert abs((d[0] * (1 - 6 * low[5] / low[0]) + 6 * low[5] / low[0]) - star) < 0.15
+
+
+def test_katz_counts_beyond_32_bits():
+    many = [katz._pack(katz._gaps(np.array([5, 9], dtype=np.uint64)), np.array([2**32 - 1, 1], dtype="<u4")) for _ in range(3)]
+    keys, counts = katz._merged(many)
+    assert keys.tolist() == [5, 9] and counts.tolist() == [3 * (2**32 - 1), 3]
 
 
 def test_katz_blocks_and_shards_do_not_matter(spark, docs, monkeypatch):
@@ -580,9 +641,9 @@ def test_katz_blocks_and_shards_do_not_matter(spark, docs, monkeypatch):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
 
 
-@pytest.mark.parametrize("counts", [[], [0, 1], [10, 5, 3, 2, 1, 1], [100, 40, 20, 12, 8, 6], [1, 9, 1, 9, 1, 9]])
+@pytest.mark.parametrize("counts", [[], [0, 1], [10, 5, 3, 2, 1, 1], [100, 40, 20, 12, 8, 6], [1, 9, 1, 9, 1, 9], [0, 0, 0, 0, 0, 7], [5, 50, 500, 0, 1, 2]])
 def test_discounts_are_between_0_and_1(counts):
-    assert all(0 < d <= 1 for d in katz.discounts(counts))
+    assert all(0 < d < 1 for d in katz.discounts(counts)[1:])
 
 
 def test_katz_odd_tables(spark):
