@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from shardwell.llm._common import cut_by, fold, mix
 
 #: Tokens of a block, tokens of a shard (about), greatest discounted count, and order of the model.
-BLOCK, SHARD, KEEP, ORDER = 600_000, 2_000_000, 5, 3
+BLOCK, SHARD, KEEP, ORDER = 600_000, 2_000_000, 5, 2
 #: Keys of the end token, which is also the history of a text's first word, and of the longer history that every text starts with.
 END, START = 0, 1
 
