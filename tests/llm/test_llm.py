@@ -384,6 +384,86 @@ def test_banded_alignment():
         assert neardup.similar(np.array(a, dtype="<u4"), np.array(b, dtype="<u4"), 0.8) == ok
 
 
+def test_long_alignment_is_the_table():
+    rng = random.Random(8)
+    for n, share in ((700, 0.1), (700, 0.19), (400, 0.25)):
+        a = [rng.randint(0, 200) for _ in range(n)]
+        b = edited(rng, a, share, lambda: rng.randint(0, 200))
+        e = edit(a, b)
+        for most in (e - 1, e, e + 30, n):
+            assert neardup.distance_within(a, b, most) == (e if e <= most else None)
+
+
+def edited(rng, words, share, new):
+    """``words`` with that share of substitutions, insertions and deletions."""
+    out = list(words)
+    for _ in range(int(share * len(words))):
+        i, kind = rng.randrange(len(out)), rng.randrange(3)
+        if kind == 0:
+            out[i] = new()
+        elif kind == 1:
+            out.insert(i, new())
+        else:
+            del out[i]
+    return out
+
+
+@pytest.mark.parametrize("share", [0.05, 0.10, 0.15, 0.19])
+def test_near_copies_are_found_over_the_whole_range(spark, share):
+    """Of pairs that the alignment confirms, nine in ten meet, whatever the kind of edit."""
+    rng = random.Random(int(share * 100))
+    new = lambda: f"n{rng.randint(0, 10**6)}"
+    rows, pairs = [], []
+    for i in range(150):
+        base = [new() for _ in range((15, 60, 200, 600)[i % 4])]
+        other = edited(rng, base, share, new)
+        a, b = (np.array([zlib.crc32(w.encode()) for w in t], dtype="<u4") for t in (base, other))
+        if neardup.similar(a, b, 0.8):
+            pairs.append((2 * i, 2 * i + 1))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) >= 100
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(got[i] == i for i, _ in rows if i % 2 == 0)  # unrelated texts stay apart
+
+
+def test_sketches_allow_similar_texts():
+    rng = random.Random(12)
+    kept = 0
+    for _ in range(300):
+        base = [rng.randint(0, 10**6) for _ in range(rng.choice((20, 100, 400)))]
+        other = edited(rng, base, 0.19, lambda: rng.randint(0, 10**6))
+        x, y = (neardup.sketch(np.array(t, dtype="<u4")) % 2**64 for t in (base, other))
+        kept += sum((x ^ y) >> (4 * i) & 15 != 0 for i in range(16)) <= neardup.DIFFER
+    assert kept >= 299
+
+
+def test_versions_that_drift_are_one_class(spark):
+    """More versions of a page than a key is paired fully for; the last has little in common with the first."""
+    rng = random.Random(21)
+    page = [f"p{i}" for i in range(200)]
+    rows = []
+    for i in range(130):
+        rows.append((i, " ".join(page)))
+        for _ in range(4):
+            page[20 + rng.randrange(180)] = f"v{rng.randint(0, 10**6)}"
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.select("class_id").distinct().count() == 1
+
+
+def test_near_copies_among_pages_of_one_template(spark):
+    """All texts share half their words, so their keys are large; near copies are found all the same, and the others stay apart."""
+    rng = random.Random(22)
+    shared = [f"s{i}" for i in range(70)]
+    rows = []
+    for i in range(120):
+        own = [f"w{rng.randint(0, 10**6)}" for _ in range(70)]
+        for j in range(2):
+            rows.append((2 * i + j, " ".join(shared + (edited(rng, own, 0.08, lambda: f"x{rng.randint(0, 10**6)}") if j else own))))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(120)) >= 117 and all(got[2 * i] == 2 * i for i in range(120))
+
+
 def test_near_duplicates_are_the_brute_force_classes(spark):
     rng = random.Random(5)
     rows, i = [], 0
