@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardwell.llm._common import WORD, fold
+from shardwell.llm.toxicity import training_sample
 
 #: Labelled documents that the rules are fitted on at most (by hash of the id).
 SAMPLE = 20_000
@@ -159,12 +160,10 @@ def compile_rules(model: dict, names: list[str]) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 3, held: int = 1, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Rules fitted on at most ``most`` labelled documents outside the held-out fold, the first by hash of the id."""
-    lab = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, mod) != held))
-    lab = lab.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("double").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(lab), "_id")  # `most` rows
+    """Rules fitted on at most ``most`` labelled documents outside the held-out fold, the first by hash of the id; see ``training_sample``."""
+    texts = training_sample(docs, labels, label, mod, held, most, id_col, text_col)
     rows, names = _with(texts, "_text", [F.col("_id"), F.col("_y")])
-    data = np.array([tuple(r)[1:] for r in rows.orderBy("_id", *names).collect()], dtype=np.float64).reshape(-1, len(names) + 1)
+    data = np.array(sorted(tuple(r)[1:] for r in rows.collect()), dtype=np.float64).reshape(-1, len(names) + 1)  # `most` rows
     return fit(data[:, 1:], data[:, 0])
 
 

@@ -15,10 +15,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwell.llm._common import fold, map_texts
+from shardwell.llm._common import cut, fold, map_texts
 
-#: Labelled documents that the model is fitted on at most (by hash of the id), features chosen at most.
-SAMPLE, FEATURES = 20_000, 4096
+#: Labelled documents that the model is fitted on at most (by hash of the id).
+SAMPLE = 20_000
 _sentence = re.compile(r"[^.!?\n…]+")
 _word = re.compile(r"\w+")
 BEGINNINGS = (4, 5, 6, 7)
@@ -35,18 +35,20 @@ def features(word: str) -> list[str]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, most: int, id_col: str, text_col: str) -> DataFrame:
-    """_text and _y of at most ``most`` labelled documents outside the held-out fold, the first by hash of the id; repeated ids give one row.
+    """_id, _text and _y of at most ``most`` labelled documents outside the held-out fold, the first by hash of the id.
 
-    The bound makes the labels' side small enough to broadcast, whatever the input's size.
+    Of the rows of a repeated id the text with the least hash is taken.  The bound makes the labels' side small enough to broadcast, whatever
+    the input's size, and holds for what is returned too.
     """
     lab = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, mod) != held))
     lab = lab.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("double").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return texts.join(F.broadcast(lab), "_id").select("_id", "_text", "_y")
+    rows = texts.join(F.broadcast(lab), "_id").groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("x"))
+    return rows.select("_id", F.col("x._text").alias("_text"), "_y")
 
 
-def choose(sample: DataFrame, most: int = FEATURES) -> tuple[list[str], int, int]:
-    """Features whose share of documents is higher among toxic ones, by log-likelihood ratio."""
+def choose(sample: DataFrame) -> tuple[list[str], int, int]:
+    """All features whose share of documents is significantly higher among toxic ones, by log-likelihood ratio; bounded by the sample."""
 
     def setup():
         def make(rows):
@@ -73,8 +75,8 @@ def choose(sample: DataFrame, most: int = FEATURES) -> tuple[list[str], int, int
         return k * F.log(q / p) + (of - k) * F.log((1 - q + 1e-9) / (1 - p + 1e-9))
 
     gain = 2 * (term(F.col("a"), float(na)) + term(F.col("b"), float(nb)))
-    top = counts.withColumn("g", gain).filter((F.col("a") / na > 2 * F.col("b") / nb) & (F.col("g") > 6)).orderBy(F.round("g", 6).desc(), "f").limit(most)
-    return [r[0] for r in top.select("f").collect()], na, nb
+    top = counts.withColumn("g", gain).filter((F.col("a") / na > 2 * F.col("b") / nb) & (F.col("g") > 6)).select("f")
+    return sorted(r[0] for r in top.collect()), na, nb
 
 
 def bags(text: str, index: dict[str, int]) -> list[tuple[int, int, list[int]]]:
@@ -124,7 +126,7 @@ def fit(rows: list[tuple[float, list[list[int]]]], n: int, rounds: int = 300, l2
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, held: int = 0, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """The fitted model: features, weights, bias, p0."""
-    sample = training_sample(docs, labels, label, mod, held, most, id_col, text_col)
+    sample = cut(training_sample(docs, labels, label, mod, held, most, id_col, text_col), "toxic-sample")
     chosen, na, nb = choose(sample)
     if not chosen:
         return {"features": [], "weights": [], "bias": 0.0, "p0": min(0.4, (na + 0.5) / (na + nb + 1.0) if na + nb else 0.1)}
@@ -136,8 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5
 
         return make
 
-    rows = map_texts(sample, [F.col("_y")], F.col("_text"), setup, "bags array<array<int>>").orderBy("_y", "bags").collect()  # bounded by the sample
-    w, b, p0 = fit([(r[0], r[1]) for r in rows], len(chosen))
+    rows = map_texts(sample, [F.col("_y")], F.col("_text"), setup, "bags array<array<int>>").collect()  # bounded by the sample
+    w, b, p0 = fit(sorted((r[0], r[1]) for r in rows), len(chosen))
     return {"features": chosen, "weights": [round(float(x), 6) for x in w], "bias": round(b, 6), "p0": p0}
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -225,6 +226,31 @@ def test_toxicity_learns_and_points(spark):
         assert bool(r.offending) == bool(lab[r.doc_id][1])
 
 
+def test_toxicity_is_the_noisy_or(spark):
+    """Scores recomputed from the fitted model, sentence by sentence, by the definition."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = toxicity.train(docs, labels)
+    weights = dict(zip(model["features"], model["weights"]))
+    got = {r.doc_id: (r.score, r.offending) for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        clean, bad = 1 - model["p0"], 0
+        for part in re.split("[.!?\n…]", (r.text or "").lower()):
+            found = {f for w in re.findall(r"\w+", part) for f in (w, *(w[:k] + "-" for k in (4, 5, 6, 7) if len(w) > k)) if f in weights}
+            if found:
+                p = 1 / (1 + math.exp(-(model["bias"] + sum(weights[f] for f in found))))
+                clean *= 1 - p
+                bad += p >= 0.5
+        assert math.isclose(got[r.doc_id][0], 1 - clean, abs_tol=1e-9) and len(got[r.doc_id][1]) == bad
+
+
+def test_training_samples_are_bounded_in_rows(spark):
+    rows = [(i % 2 + 1, f"text {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity.training_sample(docs, labels, "toxic", 1, 1, 10, "doc_id", "text").collect()
+    assert sorted((r._id, r._y) for r in got) == [(1, 1.0), (2, 0.0)]
+
+
 def test_toxicity_on_the_tables(spark):
     sf = "/root/testdata/sf0.1"
     model = toxicity.train(table(spark, sf, "documents"), table(spark, sf, "labels"))
@@ -303,6 +329,25 @@ def test_extract_the_table(spark):
         assert r.text == "\n\n".join(b for b in (" ".join(html.unescape(s).split()) for s in a.split("\x00")) if b) and r.n_chars == len(r.text)
 
 
+CONTENT = " ".join(f"word{i}" for i in range(60)) + "."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><div class="layout no-sidebar"><p>%s</p></div></body>',
+        '<body><form id="aspnetForm"><div><p>%s</p></div></form></body>',
+        '<body><div class="page-header-wrapper menu"><main><p>%s</p></main></div></body>',
+        '<body><div class="sidebar"><p>%s</p></div></body>',
+        '<body><nav>home news</nav><article class="post"><p>%s</p><article class="comment"><p>I like it very much indeed.</p></article></article></body>',
+        '<body><article><p>%s</p><ol class="commentlist"><li>First of all, no. I do not think so at all.</li></ol></article></body>',
+        '<body><article><p>%s</p><form><label>Your name</label><input></form></article></body>',
+    ],
+)
+def test_names_do_not_decide_against_the_content(page):
+    assert extraction.text_of(page % CONTENT, {}) == CONTENT
+
+
 @pytest.mark.parametrize("html", [None, "", "<p>", "<div><div>", "plain words only", "<p>a < b & c</p>", "<script>x", "<!-- c", "a" * 100_000, "<p>" * 20_000 + "x"])
 def test_extract_broken_pages(html):
     out = extraction.text_of(html, {})
