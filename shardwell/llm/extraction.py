@@ -1,7 +1,8 @@
 """Main text of HTML pages by maximum-scoring subsequence.
 
-A page is read as a sequence of words and tags.  Elements that are boilerplate by their name, role or class count as one tag each and
-their words don't count; an element ends where HTML ends it, and one that is never ended is a tag alone.  Words score positive, tags negative; the weights are learned by a perceptron on pages that label their own
+A page is read as a sequence of words and tags.  Elements that are boilerplate by their name or role, or by their class where they don't
+hold the page's content, count as one tag each and their words don't count; an element ends where HTML ends it, and one that is never ended
+is a tag alone.  Words score positive, tags negative; the weights are learned by a perceptron on pages that label their own
 content (an ``article`` or ``main`` element), so that the best contiguous region is the labelled one.  One linear scan finds a page's
 region of greatest score, and its blocks are the text.
 """
@@ -30,7 +31,7 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 SPACE = frozenset("br td th option".split())
-BOILER = frozenset("nav footer aside form head menu dialog button select".split())
+BOILER = frozenset("nav footer aside head menu dialog button select".split())
 #: Elements whose end tag is optional: the end of what they lie in ends them too.
 OPTIONAL = frozenset("p li dt dd option optgroup td th tr thead tbody tfoot colgroup caption head body html rt rp".split())
 #: What ends at the start of an element of a name, unless one of the last names was opened since.
@@ -55,25 +56,32 @@ _boiler_name = re.compile(
     r"|signup|search|pagination|pager|toolbar|copyright)(?:$|[\s_-])",
     re.I,
 )
+#: Names of reader comments, by their first part, so that an article that says how many it has isn't one.
+_comment_name = re.compile(r"(?:^|\s)(?:div-|li-|post-)?(?:comments?(?:list|-list|-body|-content|-item|-area|-section|-wrap\w*|-thread|-\d+|s)?|commentlist|respond|replies|disqus\w*)(?:$|\s)", re.I)
 #: Weights before learning; links cost more than other tags, since lists of links are navigation.
 START = {"word": 1.0, "tag": -0.15, "boiler": -2.0, "tag:a": -0.8}
 
 
-def is_boiler(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is boilerplate by its name, role, class, id or being hidden; ``inside``: within article or main, where a header is content."""
+def is_boiler(name: str, attrs: str, inside: bool) -> str:
+    """'hard' for an element that is boilerplate by its name, role or being hidden, 'soft' by its class or id or as a form, 'comment' for reader
+    comments, else the empty string; ``inside``: within article or main, where a header is content."""
     if name in BOILER or (name == "header" and not inside):
-        return True
-    if not attrs.strip() or name in ("html", "body", "article", "main"):
-        return False
+        return "hard"
+    soft = "soft" if name == "form" else ""
+    if not attrs.strip() or name in ("html", "body", "main"):
+        return soft
     if re.search(r"(?:^|\s)hidden(?:\s|=|$)", _attr.sub("", attrs)):
-        return True
+        return "hard"
     for k, v in _attr.findall(attrs):
         k, v = k.lower(), v.strip("\"'")
-        if k in ("class", "id") and not (inside and name == "header") and _boiler_name.search(v):
-            return True
-        if (k == "role" and v.lower() in ROLES) or (k == "aria-hidden" and v.lower() == "true") or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I)):
-            return True
-    return False
+        if k in ("class", "id"):
+            if _comment_name.search(v):
+                return "comment"
+            if name != "article" and not (inside and name == "header") and _boiler_name.search(v):
+                soft = "soft"
+        if name != "article" and ((k == "role" and v.lower() in ROLES) or (k == "aria-hidden" and v.lower() == "true") or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I))):
+            return "soft" if v.lower() == "form" else "hard"
+    return soft
 
 
 def _ends(html: str, tags: list[re.Match]) -> dict[int, tuple[int, int]]:
@@ -143,11 +151,31 @@ def _ends(html: str, tags: list[re.Match]) -> dict[int, tuple[int, int]]:
     return found
 
 
-def sequence(html: str) -> list[tuple[str, object]]:
-    """('word', text) for stretches of text, ('tag', name or /name) and ('boiler', name) in page order."""
+def sequence(html: str, soft: bool = True) -> list[tuple[str, object]]:
+    """('word', text) for stretches of text, ('tag', name or /name) and ('boiler', name) in page order.
+
+    An element whose class or id is one of page furniture, or a form, is boilerplate only if it doesn't hold what the page is about: a main or
+    article element, or (unless it is named for comments) more than half of the page's words.  With ``soft`` off such names don't count.
+    """
     out: list[tuple[str, object]] = []
     tags = list(_markup.finditer(html))
     ends = _ends(html, tags)
+    # words and content elements before each tag
+    words, content = [0], [0]
+    at = 0
+    for m in tags:
+        words.append(words[-1] + len(html[at : m.start()].split()))
+        name = (m[3] or "").lower()
+        content.append(content[-1] + (name in ("article", "main") and not m[2] and not is_boiler(name, m[4], True)))
+        at = m.end()
+    total = words[-1] + len(html[at:].split())
+
+    def holds_content(i: int, end: int) -> bool:
+        return content[end] > content[i + 1]
+
+    def wraps(i: int, end: int) -> bool:
+        return 2 * (words[end] - words[i + 1]) > total
+
     at, j, inside = 0, 0, 0
     while j < len(tags):
         m = tags[j]
@@ -161,7 +189,12 @@ def sequence(html: str) -> list[tuple[str, object]]:
             inside -= name in ("article", "main")
             out.append(("tag", "/" + name))
             continue
-        if name not in VOID and is_boiler(name, m[4], inside > 0):
+        kind = is_boiler(name, m[4], inside > 0) if name not in VOID else ""
+        if kind in ("soft", "comment") and not soft:
+            kind = ""
+        if kind in ("soft", "comment") and i in ends and (holds_content(i, ends[i][0]) or (kind == "soft" and wraps(i, ends[i][0]))):
+            kind = ""
+        if kind:
             out.append(("boiler", name))
             if not m[4].endswith("/") and i in ends:
                 j, at = ends[i]
@@ -237,8 +270,11 @@ def learn(pages: list[list[tuple[str, int]]], rounds: int = 5) -> dict[str, floa
 
 
 def text_of(html: str | None, weights: dict[str, float]) -> str:
-    """Blocks of the page's best region, joined by empty lines."""
-    items = sequence(html or "")
+    """Blocks of the page's best region, joined by empty lines; if nothing is left without the elements named for page furniture, with them."""
+    return _text(sequence(html or ""), weights) or _text(sequence(html or "", soft=False), weights)
+
+
+def _text(items: list[tuple[str, object]], weights: dict[str, float]) -> str:
     lo, hi = best_region([weight(weights, key(x)) * amount(x) for x in items])
     blocks: list[str] = []
     part: list[str] = []
