@@ -27,6 +27,10 @@ PARTS, KEPT = 600_000, 100_000
 TOGETHER = 8_000_000
 
 
+#: Of a worker: tokenizer and encoded parts by the path of the vocabulary.
+_kept: dict[str, tuple] = {}
+
+
 def word_bpe() -> str:
     """The vocabulary that the query uses; any ``tokenizers`` file whose ids don't reach across ASCII white space will do."""
     import public_tokenizers
@@ -53,11 +57,10 @@ def encoder(path: str):
     import tokenizers
 
     # a worker that is used again keeps its tokenizer and the parts that it met first, which frequent ones are among
-    kept = tokenizers.__dict__.setdefault("_shardwell", {})
-    if path not in kept:
-        kept.clear()
-        kept[path] = (tokenizers.Tokenizer.from_file(path), {})
-    tok, parts = kept[path]
+    if path not in _kept:
+        _kept.clear()
+        _kept[path] = (tokenizers.Tokenizer.from_file(path), {})
+    tok, parts = _kept[path]
     forget(parts, KEPT)
     mark, mark_id = "<|endoftext|>", tok.token_to_id("<|endoftext|>")
     signs = re.compile(r"([^\W\d_]+)([!-@\[-`{-~][ -~]*)")
