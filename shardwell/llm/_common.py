@@ -6,6 +6,7 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,19 +33,20 @@ def fold(id_col: str, mod: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-def word_hashes(text: str | None, cache: dict[bytes, int], most: int = 200_000) -> np.ndarray:
-    """crc32 of each word; ``cache`` keeps those of at most ``most`` distinct words (and of one text more)."""
+def word_hashes(text: str | None, cache: dict[bytes, int], most: int = 200_000, wide: bool = False) -> np.ndarray:
+    """crc32 of each word, or 64 bits if ``wide``; ``cache`` keeps those of at most ``most`` distinct words (and of one text more)."""
     words = (text or "").encode("utf-8", "replace").split()
     if len(cache) > most:  # frequent words came early: they stay
         for w in list(cache)[most // 2 :]:
             del cache[w]
+    of = xxhash.xxh64_intdigest if wide else zlib.crc32
     out = []
     for w in words:
         h = cache.get(w)
         if h is None:
-            h = cache[w] = zlib.crc32(w)
+            h = cache[w] = of(w)
         out.append(h)
-    return np.array(out, dtype="<u4")
+    return np.array(out, dtype="<u8" if wide else "<u4")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

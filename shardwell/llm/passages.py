@@ -79,7 +79,7 @@ def _anchors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def make(rows):
             out: list[list] = [[], [], [], [], []]
             for t in rows:
-                w = word_hashes(t, cache)
+                w = word_hashes(t, cache, wide=True)
                 at, f, of = positions(w)
                 own, later, earlier = repeats_within(w, of)
                 spans = lambda x: [{"start": a, "end": b} for a, b in x]
@@ -104,7 +104,7 @@ def _windows(hits: DataFrame) -> DataFrame:
         cache: dict[bytes, int] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                words = word_hashes(batch.column(3)[i].as_py(), cache)
+                words = word_hashes(batch.column(3)[i].as_py(), cache, wide=True)
                 at, _, of = positions(words)
                 s = np.flatnonzero(np.isin(at, batch.column(2)[i].values.to_numpy())[of])
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), v) for v in (pa.array(s, pa.int32()), pa.array(window_hashes(words)[s]))]
