@@ -18,7 +18,7 @@ from shardwell.llm._common import cut, n_words
 
 #: Newton steps at most; each is a job of its own, with a small plan.
 STEPS = 60
-#: Documents of one (source, size) that are ranked in one window group.
+#: Documents of one (source, size) that are ranked together, about.
 GROUP = 1000
 
 
@@ -87,10 +87,13 @@ def rates(cells: DataFrame, weights: tuple[float, ...], share: float, cap: int)
         "mix-state",
     )
     for _ in range(STEPS):
-        state = cut(_newton(state, cells, cap), "mix-state", True)
+        state = cut(_newton(state, cells, cap), "mix-state")
         worst = state.filter("_free").agg(F.max("_off")).first()[0]
         if worst is None or worst < 1e-9:
             break
+    else:
+        if worst > 1e-6:
+            raise RuntimeError(f"no multipliers after {STEPS} steps: a source is off its target by {worst:.2g}")
     lam = F.round(F.col("_lam"), 9)
     rate = F.when(F.col("_free"), _rate(lam, F.col("_size") / F.col("_scale"), cap)).when(F.col("_t") > 0, F.lit(float(cap))).otherwise(F.lit(0.0))
     return cells.join(state.select("_k", "_s", "_t", "_scale", "_lam", "_free"), "_k").withColumn("_rate", rate), state
@@ -122,6 +125,57 @@ def rounded(cells: DataFrame, state: DataFrame, cap: int) -> DataFrame:
     return cut(out, "mix-cells")
 
 
+def _lot(id_col: str, text_col: str) -> Column:
+    """A number by which the documents of one source and size are ordered; rows of equal id and text have the same."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    source = F.col(source_col)
+    return [F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)).alias("_k"), n_words(text_col).alias("_size"), _lot(id_col, text_col).alias("_lot")]
+
+
+def plan(docs: DataFrame, weights: tuple[float, ...], share: float, cap: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """A row per source and size: what every document of it gets (``_each``), and up to which lot one copy more (``_upto``).
+
+    Of the ``_have`` documents with that very lot (more than one only if rows repeat) ``_need`` get it.  The lot is found by counting lots in
+    ranges of about ``GROUP`` documents and ordering one range.
+    """
+    base = cut(docs.select(F.col(source_col).alias("_src"), *_narrow(docs, id_col, text_col, source_col)), "mix-docs")
+    cells = cut(base.groupBy("_k", "_size").agg(F.first("_src").alias("_src"), F.count("*").alias("_n")), "mix-cells")
+    rated, state = rates(cells, weights, share, cap)
+    out = rounded(rated, state, cap)
+    out = out.withColumn("_each", F.floor(F.col("_c") / F.col("_n"))).withColumn("_more", F.col("_c") - F.col("_each") * F.col("_n"))
+    some = out.filter("_more > 0").select("_k", "_size", "_more", F.ceil(F.col("_n") / GROUP).alias("_groups"))
+    # ranges in the order of lots: the upper 32 bits, moved above 0, times the number of ranges
+    range_ = F.shiftright((F.shiftright("_lot", 32) + F.lit(2**31)) * F.col("_groups"), 32)
+    lots = base.select("_k", "_size", "_lot").join(some, ["_k", "_size"]).withColumn("_b", range_)
+    counts = lots.groupBy("_k", "_size", "_b").agg(F.count("*").alias("_in"), F.first("_more").alias("_more"))
+    below = Window.partitionBy("_k", "_size").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_from", F.coalesce(F.sum("_in").over(below), F.lit(0)))
+    hit = counts.filter((F.col("_from") < F.col("_more")) & (F.col("_from") + F.col("_in") >= F.col("_more"))).select("_k", "_size", "_b", "_from")
+    same = lots.join(hit, ["_k", "_size", "_b"]).groupBy("_k", "_size", "_lot").agg(F.count("*").alias("_have"), F.first("_from").alias("_from"), F.first("_more").alias("_more"))
+    before = Window.partitionBy("_k", "_size").orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
+    same = same.withColumn("_below", F.col("_from") + F.coalesce(F.sum("_have").over(before), F.lit(0)))
+    last = same.filter((F.col("_below") < F.col("_more")) & (F.col("_below") + F.col("_have") >= F.col("_more")))
+    last = last.select("_k", "_size", F.col("_lot").alias("_upto"), "_have", (F.col("_more") - F.col("_below")).alias("_need"))
+    return cut(out.join(last, ["_k", "_size"], "left").select("_k", "_size", "_s", "_t", "_rate", "_each", "_upto", "_have", "_need"), "mix-plan")
+
+
+def _copies(rows: DataFrame, planned: DataFrame) -> DataFrame:
+    """``rows`` (with _k, _size and _lot) with the plan's columns and ``_copies``."""
+    rows = rows.join(planned, ["_k", "_size"])
+    more = F.col("_lot") <= F.col("_upto")
+    if not planned.filter("_need < _have").isEmpty():  # rows that are alike in id and text share what is left
+        tied = F.col("_lot") == F.col("_upto")
+        same = F.coalesce(tied & (F.col("_need") < F.col("_have")), F.lit(False))
+        rest = rows.filter(~same).withColumn("_nth", F.lit(0))
+        alike = rows.filter(same).withColumn("_nth", F.row_number().over(Window.partitionBy("_k", "_size").orderBy("_lot")))
+        rows = rest.unionByName(alike)
+        more = more & ((F.col("_nth") == 0) | (F.col("_nth") <= F.col("_need")))
+    return rows.withColumn("_copies", F.col("_each") + F.coalesce(more, F.lit(False)).cast("long"))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (3.0, 1.0, 2.0),
@@ -136,26 +190,13 @@ def mix(
     Returns a row per input row: ``id_col``, source, size (words), source_size, target (of its source), rate, copies, taken = copies * size.
 
     Null or empty text: size 0, one copy, nothing taken.  Null source: a source of its own, ordered last.  Repeated rows and ids: each row
-    counts.  Ties: rows of equal source and size are told apart by id; rows equal in all three are alike.  Empty table: no rows.  A source
-    without words has target 0.  Other columns are ignored, whatever their names.
+    counts.  Ties: rows of equal source and size are told apart by a hash of id and text; rows equal in both are alike.  Very long texts: only
+    their number of words counts.  Empty table: no rows.  A source without words has target 0.  Other columns are ignored, whatever their names.
     """
-    base = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), n_words(text_col).alias("_size"))
-    base = cut(base.withColumn("_k", F.when(F.col("_src").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("_src")))), "mix-docs")
-    cells = cut(base.groupBy("_k", "_size").agg(F.first("_src").alias("_src"), F.count("*").alias("_n")), "mix-cells")
-    rated, state = rates(cells, weights, share, cap)
-    plan = rounded(rated, state, cap)
-    plan = plan.withColumn("_each", F.floor(F.col("_c") / F.col("_n"))).withColumn("_more", F.col("_c") - F.col("_each") * F.col("_n"))
-    plan = plan.withColumn("_groups", F.ceil(F.col("_n") / GROUP))
-    rows = base.join(plan.drop("_src"), ["_k", "_size"])
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_groups")))
-    many = base.join(plan.filter("_groups > 1").select("_k", "_size", "_groups"), ["_k", "_size"])
-    many = many.withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_groups"))).groupBy("_k", "_size", "_b").agg(F.count("*").alias("_in"))
-    below = Window.partitionBy("_k", "_size").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    many = many.withColumn("_from", F.coalesce(F.sum("_in").over(below), F.lit(0))).drop("_in")
-    rank = F.row_number().over(Window.partitionBy("_k", "_size", "_b").orderBy("_id"))
-    rows = rows.withColumn("_rank", rank).join(many, ["_k", "_size", "_b"], "left")
-    copies = F.col("_each") + (F.col("_rank") + F.coalesce(F.col("_from"), F.lit(0)) <= F.col("_more")).cast("long")
-    return rows.select(
+    planned = plan(docs, weights, share, cap, id_col, text_col, source_col)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), *_narrow(docs, id_col, text_col, source_col))
+    copies = F.col("_copies")
+    return _copies(rows, planned).select(
         F.col("_id").alias(id_col),
         F.col("_src").alias(source_col),
         F.col("_size").alias("size"),
@@ -167,19 +208,24 @@ def mix(
     )
 
 
-def repeat_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row repeated as often as ``mix`` takes it (not at all if it takes none); the columns stay as they are."""
-    id_col, text_col, source_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
+def repeat_documents(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
+    share: float = 1.5,
+    cap: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """``docs`` with each row repeated as often as ``mix`` takes it (not at all if it takes none); the columns stay as they are.
+
+    A row's copies follow from its own source, size and lot and from the plan, so texts stay where they are.  Columns of any type and name may
+    be there; nulls, empty texts, repeated rows and empty tables are as for ``mix``.
+    """
     names = docs.columns
-    keyed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    planned = plan(docs, weights, share, cap, id_col, text_col, source_col)
     at = {c: f"c{i}" for i, c in enumerate(names)}
-    keyed = keyed.withColumn("_size", n_words(at[text_col]))
-    taken = mix(docs, **options).select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), F.col("size").alias("_sz"), "copies")
-    taken = taken.groupBy("_id", "_src", "_sz").agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    order = Window.partitionBy(at[id_col], at[source_col], "_size").orderBy(F.xxhash64(*[at[c] for c in names]))
-    rows = keyed.withColumn("_nth", F.row_number().over(order)).join(
-        taken,
-        keyed[at[id_col]].eqNullSafe(F.col("_id")) & keyed[at[source_col]].eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_sz")),
-    )
-    rows = rows.withColumn("_c", F.element_at("_copies", F.col("_nth"))).filter("_c > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int")))).select(*[F.col(at[c]).alias(c) for c in names])
+    keyed = docs.select(*[F.col(c).alias(at[c]) for c in names])
+    rows = keyed.select("*", *_narrow(keyed, at[id_col], at[text_col], at[source_col]))
+    rows = _copies(rows, planned).filter("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(at[c]).alias(c) for c in names])
