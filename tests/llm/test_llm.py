@@ -108,6 +108,17 @@ def test_mix_odd_tables(spark):
     assert Counter(r.doc_id for r in out.collect()) == Counter({k: v for k, v in taken.items() if v})
 
 
+def test_repeating_leaves_odd_columns_alone(spark):
+    """Columns of types without an order or a hash, ids that repeat, rows that repeat: as many copies as the mix takes."""
+    rows = [(None if i % 3 else i % 7, "a b c d" if i % 2 else f"w{i} x", "s" if i % 5 else None, {"k": i % 2}) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string,int>")
+    got = mixing.repeat_documents(df)
+    assert got.columns == df.columns
+    taken = mixing.mix(df).agg(F.sum("copies"), F.sum("taken")).first()
+    again = [r.text for r in got.collect()]
+    assert len(again) == taken[0] and sum(len(t.split()) for t in again) == taken[1]
+
+
 # 2 packing
 
 
@@ -839,6 +850,21 @@ def test_neighbours_recall(spark, factor):
     assert recall == 1.0 if factor == 1.0 else recall >= 0.9
 
 
+def test_neighbours_of_many_shards_are_their_sql(spark, tmp_path):
+    """Several pivots and shards, repeated ids and equal vectors: the operator and its SQL agree."""
+    rng = np.random.default_rng(19)
+    x = np.round(rng.normal(size=(900, 6)) * 2).astype(np.float32)
+    rows = [(i % 700, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/e")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/e/*.parquet'")
+    want = sorted((q, r, round(s, 9)) for q, r, _, s in c.execute(ann.ORACLE).fetchall())
+    for shard in (64, 300, 4096):
+        got = sorted((r.query_id, r.rank, round(r.score, 9)) for r in ann.nearest(df, shard=shard).collect())
+        assert got == want
+
+
 def test_neighbours_odd_tables(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]), (100, [1.0, 0.0]), (7, [2.0, 0.0]), (7, [2.0, 0.0]), (None, [1.0, 1.0]), (200, []), (300, [1.0, 2.0, 3.0])]
