@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,9 @@ def index_hash(data: Column, i: Column) -> Column:
 
 def positions(data: Column, m: int, k: int, hashed: Callable[[Column, Column], Column] = index_hash) -> Column:
     """The k bit positions of a digest, some perhaps equal."""
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(hashed(data, i), F.lit(m)).cast("long"))
+    if hashed is index_hash:
+        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(hashed(data, i), F.lit(m)).cast("long"))
+    return F.array(*[F.pmod(hashed(data, F.lit(i)), F.lit(m)).cast("long") for i in range(k)])  # Python functions don't run in a lambda
 
 
 def build(digests: DataFrame, m: int, k: int, hashed: Callable[[Column, Column], Column] = index_hash) -> DataFrame:
@@ -111,9 +115,31 @@ def load(spark, path: str, m: int, k: int, key: str) -> DataFrame | None:
     return rows.select("word", "bits")
 
 
-def polynomial_hash(data: bytes, i: int) -> int:
-    """Double hashing by two polynomials over the bytes, modulo 2**64 (B-09)."""
-    a = b = 0
-    for x in data:
-        a, b = (a * 131 + x) % 2**64, (b * 137 + x + 1) % 2**64
-    return (a + i * b) % 2**64
+def keyed_hash(key: bytes) -> Callable[[Column, Column], Column]:
+    """An index hash of its own for each key: CRC-64 over key, index and data, as a long (B-06)."""
+    from shardwell.functions import hashing
+
+    def hashed(data: Column, i: Column) -> Column:
+        return F.conv(F.hex(hashing.crc64(F.concat(F.lit(key), i.cast("string").cast("binary"), F.lit(b":"), data.cast("binary")))), 16, -10).cast("long")
+
+    return hashed
+
+
+#: Factors of the polynomial hash (fixed values).
+POLYNOMIALS = (131, 137)
+
+
+def polynomial_hash(data: Column, i: Column) -> Column:
+    """Double hashing by two polynomials over the bytes, modulo 2**64, as a decimal (B-09)."""
+
+    @F.pandas_udf("decimal(20,0)")
+    def run(data: pd.Series, i: pd.Series) -> pd.Series:
+        out = []
+        for x, k in zip(data, i):
+            a = b = 0
+            for byte in bytes(x):
+                a, b = (a * POLYNOMIALS[0] + byte) % 2**64, (b * POLYNOMIALS[1] + byte + 1) % 2**64
+            out.append(Decimal((a + int(k) * b) % 2**64))
+        return pd.Series(out, dtype=object)
+
+    return run(data, i)

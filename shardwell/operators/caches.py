@@ -1,4 +1,4 @@
-"""What caches decide, over access logs, and Spark's own cache for the rest (C-01..C-11, A-12, W-07)."""
+"""What caches decide, over access logs, and Spark's own cache for the rest (C-01..C-04, C-07, C-10, C-11, A-12, W-07, G-23)."""
 
 from __future__ import annotations
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwell.sources.scratch import cut
+from shardwell.sources.scratch import cut, cut_by
 
 
 class WalkAborted(RuntimeError):
@@ -27,7 +27,8 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> D
 
     ``depth`` bounds the number of hops (R-08, R-09: breadth first, so a node counts at its least distance).
     """
-    links = edges.filter(F.col("dst").isNotNull() & F.col("src").isNotNull()).select("src", "dst").distinct()
+    # written once, in buckets of the source, so that rounds move the frontier and not the edges
+    links = cut_by(edges.filter(F.col("dst").isNotNull() & F.col("src").isNotNull()).select("src", "dst").distinct(), "src", "walk-links")
     front = cut(roots.select("digest").filter(F.col("digest").isNotNull()).distinct().withColumn("level", F.lit(0)), "walk")
     seen, level = front, 0
     while (depth is None or level < depth) and not front.isEmpty():
@@ -89,27 +90,30 @@ def _key(x):
     return bytes(x) if isinstance(x, bytearray) else x
 
 
-def preload(edges: DataFrame, roots: list, depth: int) -> list:
-    """Depth-first with one shared set of visited nodes: a node first met with no depth left is not expanded later (G-15)."""
+def preload(edges: DataFrame, roots: list, depth: int, most: int = 1_000_000) -> list:
+    """Depth-first with one shared set of visited nodes: a node first met with no depth left is not expanded later (G-15).
+
+    The order decides what is visited, so the edges within ``depth`` hops are brought to the driver; more than ``most`` raise.
+    """
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["src"]
     start = spark.createDataFrame([(r,) for r in roots], f"digest {kind}")
-    near = edges.join(reachable(edges, start, depth).select(F.col("digest").alias("src")), "src", "left_semi")
+    near = edges.join(reachable(edges, start, depth).select(F.col("digest").alias("src")), "src", "left_semi").filter("dst is not null")
+    rows = near.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} edges; use reachable() for the set")
     out: dict = {}
-    for r in near.orderBy("src", "ord").collect():
+    for r in sorted(rows, key=lambda r: r["ord"]):
         out.setdefault(_key(r["src"]), []).append(_key(r["dst"]))
     seen: set = set()
-
-    def visit(d, left: int) -> None:
+    stack = [(_key(r), depth) for r in reversed(roots)]
+    while stack:
+        d, left = stack.pop()
         if d in seen:
-            return
+            continue
         seen.add(d)
         if left > 0:
-            for x in out.get(d, []):
-                visit(x, left - 1)
-
-    for r in roots:
-        visit(_key(r), depth)
+            stack.extend((x, left - 1) for x in reversed(out.get(d, [])))
     return sorted(seen)
 
 

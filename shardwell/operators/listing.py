@@ -48,10 +48,11 @@ def census(meta: DataFrame) -> DataFrame:
     """
     kind = F.when(F.col("unreadable"), F.lit("unreadable")).when(F.col("header_status") == "headerless", F.lit("headerless")).otherwise(F.lit("framed"))
     rows = meta.select("type", F.col("version").cast("string").alias("version"), "codec", kind.alias("kind"))
-    framed = rows.filter("kind = 'framed'").groupingSets([["type"], ["version"], ["codec"]], "type", "version", "codec").agg(F.count("*").alias("objects"), F.grouping_id().alias("g"))
-    axis = F.when(F.col("g") == 3, F.lit("type")).when(F.col("g") == 5, F.lit("version")).otherwise(F.lit("codec"))
-    framed = framed.select(axis.alias("axis"), F.when(F.col("g") == 3, F.col("type")).when(F.col("g") == 5, F.col("version")).otherwise(F.col("codec")).alias("value"), "objects")
-    return framed.unionByName(rows.filter("kind <> 'framed'").groupBy(F.lit("kind").alias("axis"), F.col("kind").alias("value")).agg(F.count("*").alias("objects")))
+    sets = rows.groupingSets([["kind", "type"], ["kind", "version"], ["kind", "codec"], ["kind"]], "kind", "type", "version", "codec")
+    told = sets.agg(F.count("*").alias("objects"), F.grouping_id().alias("g"))  # bits: type 4, version 2, codec 1, set where left out
+    axis = F.when(F.col("g") == 3, F.lit("type")).when(F.col("g") == 5, F.lit("version")).when(F.col("g") == 6, F.lit("codec")).otherwise(F.lit("kind"))
+    value = F.when(F.col("g") == 3, F.col("type")).when(F.col("g") == 5, F.col("version")).when(F.col("g") == 6, F.col("codec")).otherwise(F.col("kind"))
+    return told.filter((F.col("g") == 7) != (F.col("kind") == "framed")).select(axis.alias("axis"), value.alias("value"), "objects")
 
 
 def census_text(counts: DataFrame) -> DataFrame:

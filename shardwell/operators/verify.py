@@ -1,5 +1,5 @@
 """Integrity: recomputed digests, sidecar checksums and audits
-(M-01..M-06, M-12, M-16, M-18, J-14, A-07, A-08, A-11, A-13, SC-33..SC-35, SC-43, SK-19..SK-22, F-16)."""
+(M-01..M-06, M-12, M-16, M-18, J-14, A-07, A-08, A-11, A-13, SC-35, SK-19..SK-22, F-16)."""
 
 from __future__ import annotations
 
@@ -66,6 +66,12 @@ def add_records(records: DataFrame, fresh: DataFrame) -> DataFrame:
     return records.join(new.select("digest"), "digest", "left_anti").unionByName(new.select(*records.columns))
 
 
+def delete_with_records(objects: DataFrame, records: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(objects, records) without ``doomed``: an object and its record go together (SK-22)."""
+    gone = doomed.select("digest").filter("digest is not null").distinct()
+    return objects.join(gone, "digest", "left_anti"), records.join(gone, "digest", "left_anti")
+
+
 def encode_record(row: DataFrame, cap: int = 4096) -> DataFrame:
     """JSON of a record within ``cap`` bytes: the optional type and codec are dropped first, then it is too large (SK-20)."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 _own: dict[str, str] = {}
+_tables: dict[str, str] = {}  # name of a registered table by its path
 
 
 def folder(spark: SparkSession) -> str:
@@ -28,11 +29,12 @@ def folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, and any executor can read it again after a loss.
 
-    ``narrow`` rows (keys, pairs, links) fit in fewer and larger files: an eighth of the shuffle partitions, eight at least.
+    ``narrow`` rows (keys, pairs, links) are dealt to fewer and larger files, an eighth of the shuffle partitions and eight at least, after the
+    work that makes them, which keeps all its tasks.
     """
     spark = df.sparkSession
     if narrow:
-        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        df = df.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{folder(spark)}/shardwell/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
@@ -51,6 +53,7 @@ def cut_by(df: DataFrame, key: str, name: str, dealt: bool = True) -> DataFrame:
     path = f"{folder(spark)}/shardwell/{called}"
     (df.repartition(buckets, key) if dealt else df).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(called)
     _written.append((spark, path))
+    _tables[path] = called
     return spark.table(called)
 
 
@@ -65,6 +68,8 @@ def release(tables: list[tuple[SparkSession, str]] | None = None) -> None:
         if (spark, path) in _written:
             _written.remove((spark, path))
         try:
+            if path in _tables:
+                spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session may have ended already
