@@ -90,5 +90,31 @@ def test_run_is_its_stages(spark, corpus):
     assert sorted(map(key, rows)) == sorted(map(key, docs.collect()))
 
 
+def test_stages_on_odd_tables(spark, corpus):
+    """Null ids, sources and texts, repeated rows, a long text and columns of clashing names and of types without an order."""
+    base, *_ = corpus
+    long = " ".join(f"w{i % 7919}x{i % 13}" for i in range(30_000))
+    rows = [(1, "a b c. d e f.", "s"), (1, "a b c. d e f.", "s"), (None, None, None), (None, "x y z", "s"), (None, "x y z", "s"), (3, "", "t"), (4, long, "t"), (5, long, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.selectExpr("doc_id", "text", "'en' as lang", "source", "cast(length(text) as bigint) as n_chars", "map('k', 1) as extra", "1 as size", "2 as node", "'u' as u", "3 as _lot")
+    for table in (docs, docs.filter("false")):
+        before = table
+        for name, stage in corpus_pipeline.STAGES:
+            after = cut(stage(spark, before, base), "odd")
+            if name != "packing":
+                assert after.columns == docs.columns
+            if table is not docs:
+                assert after.isEmpty()
+            before = after
+
+
+def test_a_lazy_result_can_be_handed_on(spark, corpus):
+    """A stage's result that isn't written yet still finds the tables that it reads."""
+    base, *_ = corpus
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, base)
+    assert corpus_pipeline.mix(spark, kept, base).count() > 0
+
+
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near-duplicates", "repeated passages", "mixing", "packing"] and corpus_pipeline.ORACLE_SQL is None
