@@ -17,13 +17,12 @@ PEEK_NAME, PEEK_BYTES = 4096, 8192
 def uvarint(n: Column) -> Column:
     """Little-endian groups of seven bits, the high bit on all but the last."""
     n = n.cast("long")
-    size = F.lit(1) + sum(((n >= 2 ** (7 * i)).cast("int") for i in range(1, 5)), F.lit(0))  # a value has fewer than 2**31 bytes
-
-    def group(i: Column) -> Column:
-        low = F.floor(n / F.pow(F.lit(2.0), 7 * i)).cast("long") % 128
-        return F.lpad(F.hex(low + F.when(i < size - 1, 128).otherwise(0)), 2, "0")
-
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), size - 1), group), ""))
+    groups = []
+    for i in range(5):  # a value has fewer than 2**31 bytes
+        low = F.shiftright(n, 7 * i).bitwiseAND(F.lit(127).cast("long"))
+        group = F.lpad(F.hex(low + F.when(n >= 2 ** (7 * (i + 1)), 128).otherwise(0)), 2, "0")
+        groups.append(group if i == 0 else F.when(n >= 2 ** (7 * i), group).otherwise(F.lit("")))
+    return F.unhex(F.concat(*groups))
 
 
 def encode(codec: Column, type_name: Column, payload: Column) -> Column:

@@ -688,3 +688,6 @@ def stream_dedup_ingest(spark, d):
     out = f"{folder(spark)}/streams/{name}-table"
     ingest.dedup_ingest(rows, out, path, grace="60 days").awaitTermination()
     return spark.read.parquet(out).select(dg.to_text(F.col("digest")).alias("hash"))
+
+
+from shardwell.plans import store_queries  # noqa: E402,F401  registers its queries
