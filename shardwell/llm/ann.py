@@ -118,11 +118,16 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, factor: float = 1
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col).withColumn("_dim", F.size("_v"))
     rows = cut(rows.withColumn("_u", F.monotonically_increasing_id()), "ann-rows")  # written, so a row keeps its number
-    sizes = rows.groupBy("_dim").agg(F.count("*").alias("n"), F.count_if(F.col("_id") % every == 0).alias("q")).filter("q > 0")
+    sizes = rows.groupBy("_dim").agg(F.count("*").alias("n"), F.count_if(F.col("_id") % every == 0).alias("q")).filter("q > 0").collect()  # a row a length
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = rows.filter(F.col("_dim").isin([r["_dim"] for r in sizes]))
     # pivots: of each length the vectors of least hash, at most PIVOTS, at most one for each shard's worth of vectors
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["_dim"], max(1, r["n"] // (PIVOTS * 16)))])
+    most = F.create_map(*[F.lit(x) for r in sizes for x in (r["_dim"], min(PIVOTS, -(-r["n"] // shard)))])
     lot = Window.partitionBy("_dim").orderBy(F.xxhash64("_id", "_u"), "_u")
-    some = rows.join(sizes, "_dim").filter(F.pmod(F.xxhash64("_u", "_id"), F.greatest(F.lit(1), F.floor(F.col("n") / (PIVOTS * 16)))) == 0)
-    some = some.withColumn("_nth", F.row_number().over(lot)).filter((F.col("_nth") <= PIVOTS) & (F.col("_nth") <= F.ceil(F.col("n") / shard)))
+    some = rows.filter(F.pmod(F.xxhash64("_u", "_id"), share[F.col("_dim")]) == 0)
+    some = some.withColumn("_nth", F.row_number().over(lot)).filter((F.col("_nth") <= PIVOTS) & (F.col("_nth") <= most[F.col("_dim")]))
     pivots: dict[int, np.ndarray] = {}
     for r in some.select("_dim", "_nth", "_v").orderBy("_dim", "_nth").collect():  # PIVOTS a length of vectors
         pivots.setdefault(r[0], []).append(r[2])
@@ -142,14 +147,15 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, factor: float = 1
                     far[i] = float(to[cell[i]])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(cell, pa.int32()), pa.array(far, pa.float64())], names=["_id", "_u", "_v", "_dim", "_cell", "_far"])
 
-    rows = rows.join(sizes.select("_dim"), "_dim", "left_semi").select("_id", "_u", "_v", "_dim").mapInArrow(near_pivot, "_id long, _u long, _v array<double>, _dim int, _cell int, _far double")
+    rows = rows.select("_id", "_u", "_v", "_dim").mapInArrow(near_pivot, "_id long, _u long, _v array<double>, _dim int, _cell int, _far double")
     rows = cut(rows, "ann-cells")
     cells = rows.groupBy("_dim", "_cell").agg(F.count("*").alias("n"), F.max("_far").alias("_radius")).withColumn("_shards", F.ceil(F.col("n") / shard))
     balls: dict[int, list] = {}
     for r in cells.orderBy("_dim", "_cell").collect():  # a row a pivot
         balls.setdefault(r["_dim"], []).append((r["_cell"], r["_radius"], r["_shards"]))
     part = lambda piece: F.xxhash64("_dim", "_cell", piece)
-    points = rows.join(cells.select("_dim", "_cell", "_shards"), ["_dim", "_cell"])
+    known_cells = F.broadcast(cells.select("_dim", "_cell", "_shards"))  # a row a pivot
+    points = rows.join(known_cells, ["_dim", "_cell"])
     points = points.withColumn("_part", part(F.pmod(F.xxhash64("_id", "_u"), F.col("_shards")))).select("_part", "_id", "_u", "_v")
     points = cut_by(points, "_part", "ann-points")
     queries = rows.filter(F.col("_id") % every == 0)
@@ -175,7 +181,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, factor: float = 1
         """The k best of each (query, shard); ``asked``: _part, _id, _u, _v, _most."""
         return points.groupBy("_part").cogroup(asked.groupBy("_part")).applyInPandas(run, "query_id long, _qu long, vec_id long, _vu long, score double")
 
-    first = queries.join(cells.select("_dim", "_cell", "_shards"), ["_dim", "_cell"]).withColumn("_piece", F.pmod(F.xxhash64("_u", "_id"), F.col("_shards")))
+    first = queries.join(known_cells, ["_dim", "_cell"]).withColumn("_piece", F.pmod(F.xxhash64("_u", "_id"), F.col("_shards")))
     home = cut(searched(first.select(part(F.col("_piece")).alias("_part"), "_id", "_u", "_v", F.lit(float("inf")).alias("_most"))), "ann-home")
     bound = home.groupBy("query_id", "_qu").agg(F.count("*").alias("_k"), F.max("score").alias("_most")).filter(F.col("_k") >= k)  # k rows a query
     known = first.join(bound.select(F.col("query_id").alias("_id"), F.col("_qu").alias("_u"), "_most"), ["_id", "_u"], "left").withColumn("_most", F.coalesce("_most", F.lit(float("inf"))))
