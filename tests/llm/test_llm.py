@@ -668,6 +668,18 @@ def test_later_places_of_a_stretch_in_one_text(spark):
     check_passages(spark, texts)
 
 
+def test_passages_are_the_same_on_any_partitions(spark, docs):
+    said = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        got = []
+        for n in ("1", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted((r.doc_id, r.n_repeated, r.n_removed) for r in passages.repeated_passages(docs).collect()))
+        assert got[0] == got[1] and any(r[1] for r in got[0])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", said)
+
+
 def test_passages_odd_tables(spark):
     got = passages.repeated_passages(odd(spark)).collect()
     assert len(got) == 10
