@@ -1,13 +1,17 @@
-"""Repeated passages by sparse suffix positions.
+"""Repeated passages by a sparse suffix array.
 
 A passage is made of windows of ``MIN_WORDS`` words, and a window belongs to one position that its words select: the minimiser of its first
-``WINDOW`` word 8-grams, early enough to leave ``REACH`` words of the window after it.  Equal windows have their positions at the same word.
-What a text repeats of itself is settled within the text, by the same hashes; positions without a window that is new in the text are left
-out.  Positions whose next ``REACH`` words occur once only are dropped; the windows of the others are keyed by a 64-bit hash of all their words, and counts and first documents are aggregated by key.  A window with a count above
-one is repeated, and all documents but the first lose it; passages are the unions of such windows.  Nothing depends on how many documents
-share a position or a window.
+``WINDOW`` word 8-grams, early enough to leave ``REACH`` words of the window after it.  Equal windows have their positions at the same word,
+so the suffixes at these positions are all that has to be sorted.  Suffixes whose first ``REACH`` words occur once only are dropped; the
+others are sorted by their words and each is compared with its neighbours in that order: the longer of the two common prefixes is as far as
+any other suffix agrees with it to the right.  To the left a match goes on over the windows that end within that reach.  A neighbour by the
+words to the right need not be the suffix that agrees to the left, so these windows are settled by a 64-bit hash of all their words: counts
+and first documents are aggregated by hash, whatever the number of documents that share a suffix.  A window with a count above one is
+repeated, and all documents but the first lose it; passages are the unions of such windows.
 
-Copies collapse first: a text equal to an earlier document's is one passage.
+What a text repeats of itself is settled within the text, by the same hashes; positions without a window that is new in the text are left
+out.  Copies collapse first: a text equal to an earlier document's is one passage.  The first and last suffix of a partition have no
+neighbour on one side and keep all their windows, so nothing depends on how suffixes are dealt out.
 """
 
 from __future__ import annotations
@@ -22,6 +26,9 @@ from shardwell.llm._common import cut, map_texts, mix, word_hashes
 
 GRAM, WINDOW, MIN_WORDS = 8, 24, 50
 REACH = MIN_WORDS - WINDOW + 1
+#: Words that a window may have after the first REACH of its suffix; two bytes of each one's hash are compared, so that a common prefix is
+#: never found too short.
+BEYOND = MIN_WORDS - REACH
 
 _word = re.compile("[^\x20\x09-\x0d]+")
 _POW = np.random.default_rng(11).integers(1, 2**63, size=GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,8 +102,9 @@ def _anchors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_texts(docs, [F.col(id_col).alias("_id"), F.unhex(F.md5(text)).alias("u")], text.alias("_text"), setup, fields)
 
 
-def _windows(hits: DataFrame) -> DataFrame:
-    """u, id, s (starts) and w (hashes) of the windows that belong to the hits; ``hits``: u, id, at, text."""
+def _suffixes(hits: DataFrame) -> DataFrame:
+    """u, id, at, f, beyond (the words after the first REACH), s (start of the first window) and w (hashes of the windows) of each suffix;
+    ``hits``: u, id, at (a list), text."""
 
     def run(batches):
         import pyarrow as pa
@@ -105,13 +113,64 @@ def _windows(hits: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 words = word_hashes(batch.column(3)[i].as_py(), cache, wide=True)
-                at, _, of = positions(words)
-                s = np.flatnonzero(np.isin(at, batch.column(2)[i].values.to_numpy())[of])
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), v) for v in (pa.array(s, pa.int32()), pa.array(window_hashes(words)[s]))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *lists], names=["u", "id", "s", "w"])
+                at, f, of = positions(words)
+                k = np.flatnonzero(np.isin(at, batch.column(2)[i].values.to_numpy()))
+                lo, hi = np.searchsorted(of, k, "left"), np.searchsorted(of, k, "right")  # a later window's position is no earlier one
+                short = np.append(words.astype("<u2"), np.zeros(BEYOND, dtype="<u2"))
+                beyond = np.lib.stride_tricks.sliding_window_view(short, BEYOND)[at[k] + REACH]
+                bounds = np.concatenate([[0], np.cumsum(hi - lo)])
+                w = window_hashes(words)[np.repeat(lo - bounds[:-1], hi - lo) + np.arange(bounds[-1])]
+                same = [pa.array([batch.column(c)[i].as_py()] * len(k), batch.schema.types[c]) for c in (0, 1)]
+                columns = [pa.array(at[k], pa.int32()), pa.array(f[k]), pa.array([x.tobytes() for x in beyond], pa.binary()), pa.array(lo, pa.int32())]
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(w, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*same, *columns, lists], names=["u", "id", "at", "f", "beyond", "s", "w"])
 
     kind = hits.schema["id"].dataType.simpleString()
-    return hits.select("u", "id", "at", "text").mapInArrow(run, f"u binary, id {kind}, s array<int>, w array<long>")
+    return hits.select("u", "id", "at", "text").mapInArrow(run, f"u binary, id {kind}, at int, f long, beyond binary, s int, w array<long>")
+
+
+def _matched(suffixes: DataFrame) -> DataFrame:
+    """u, id, s and w of the sorted suffixes' windows that end within what a neighbour has in common with the suffix."""
+
+    def common(f: np.ndarray, beyond: np.ndarray) -> np.ndarray:
+        """Words that each suffix shares with the next, MIN_WORDS at most; 0 stands for fewer than REACH."""
+        differ = np.column_stack([beyond[1:] != beyond[:-1], np.ones(len(f) - 1, dtype=bool)])
+        return np.where(f[1:] == f[:-1], REACH + differ.argmax(axis=1), 0)
+
+    def run(batches):
+        import pyarrow as pa
+
+        def trimmed(rows, reach: np.ndarray):
+            at, s = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 5))
+            size = np.diff(rows.column(6).offsets.to_numpy().astype(np.int64))
+            keep = np.clip(at + reach - MIN_WORDS - s + 1, 0, size)
+            first = np.cumsum(size) - size
+            w = rows.column(6).flatten().to_numpy(zero_copy_only=False)[(np.arange(size.sum()) - np.repeat(first, size)) < np.repeat(keep, size)]
+            some = pa.array(keep > 0)
+            bounds = np.concatenate([[0], np.cumsum(keep[keep > 0])])
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(w, pa.int64()))
+            return pa.RecordBatch.from_arrays([*(rows.column(c).filter(some) for c in (0, 1, 5)), lists], names=["u", "id", "s", "w"])
+
+        last, before = None, MIN_WORDS  # the row whose next isn't known yet, and what it shares with the one before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            f = batch.column(3).to_numpy(zero_copy_only=False)
+            beyond = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<u2").reshape(-1, BEYOND)
+            n = batch.num_rows
+            after = common(f, beyond)
+            both = np.maximum(np.concatenate([[before], after[:-1]]), after) if n > 1 else after
+            if n > 1:
+                yield trimmed(batch.slice(0, n - 1), both)
+                before = after[-1]
+            last = batch.slice(n - 1, 1)
+        if last is not None:
+            yield trimmed(last, np.array([MIN_WORDS]))
+
+    kind = suffixes.schema["id"].dataType.simpleString()
+    return suffixes.sort("f", "beyond", "u", "at").mapInArrow(run, f"u binary, id {kind}, s int, w array<long>")
 
 
 def _spans(found: DataFrame) -> DataFrame:
@@ -163,8 +222,9 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("u", F.unhex(F.md5("text")))
     found = source.join(hits, (source["u"] == hits["u"]) & source["id"].eqNullSafe(hits["id"])).select(source["u"], source["id"], "at", "text")
     # rows equal in id and text are in one partition already
-    windows = cut(_windows(found.dropDuplicates(["u", "id"])), "passage-windows")
-    windows = windows.select("u", "id", F.explode(F.arrays_zip("s", "w")).alias("x")).select("u", "id", F.col("x.s").alias("s"), F.col("x.w").alias("w"))
+    suffixes = cut(_suffixes(found.dropDuplicates(["u", "id"])), "passage-suffixes")
+    windows = cut(_matched(suffixes), "passage-windows")
+    windows = windows.select("u", "id", "s", F.posexplode("w").alias("i", "w")).select("u", "id", (F.col("s") + F.col("i")).alias("s"), "w")
     lead = windows.groupBy("w").agg(F.count("*").alias("k"), F.min(F.struct(F.col("id").isNotNull().alias("k"), "id", "u")).alias("lead")).filter("k > 1")
     shared = windows.join(lead, "w").select("u", F.struct("s", (F.col("u") != F.col("lead.u")).alias("gone"), F.col("lead.id").alias("first")).alias("x"))
     gathered = _spans(shared.groupBy("u").agg(F.collect_list("x").alias("x")))  # bounded by the text
