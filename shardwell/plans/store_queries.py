@@ -225,7 +225,7 @@ def digest_paths(spark, d):
     files.check_layout(2, 2)
     rows = _bytes(spark, d).withColumn("path", dg.to_path("/s", F.col("digest"), 2, 2))
     other = dg.from_path(F.concat("path", F.lit(".tmp")))
-    return rows.select("doc_id", "path", dg.to_text(dg.from_path(F.col("path"))).alias("back"), dg.to_text(other).alias("other"))
+    return rows.select("doc_id", "path", dg.to_text(dg.from_path(F.col("path"))).alias("back"), F.lower(F.hex(other)).alias("other"))
 
 
 @query("SELECT event_id, coalesce(a = b, false) AS same FROM (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN sha256(event_type) END AS a, CASE WHEN event_id % 3 > 0 THEN sha256(CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'x' END) END AS b FROM events)")
