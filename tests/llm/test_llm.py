@@ -680,6 +680,40 @@ def test_passages_are_the_same_on_any_partitions(spark, docs):
         spark.conf.set("spark.sql.shuffle.partitions", said)
 
 
+def test_neighbours_reach_as_far_as_any_suffix(spark):
+    """Windows stay up to the longest prefix that a suffix shares with any other, over Arrow batches of two rows too."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        beyond = np.array([rng.randint(0, 1) for _ in range(passages.BEYOND)], dtype="<u2")
+        at = rng.randint(0, 23)
+        first = rng.randint(0, at)
+        rows.append((bytes([i]), i, at, rng.randint(0, 2) if i else 9, beyond.tobytes(), first, list(range(100 * i, 100 * i + at - first + 1))))
+    df = spark.createDataFrame(rows, "u binary, id long, at int, f long, beyond binary, s int, w array<long>").coalesce(1)
+    want = {}
+    for r in rows:
+        shared = [0]
+        for o in rows:
+            if o[0] != r[0] and o[3] == r[3]:
+                x, y = (np.frombuffer(v[4], "<u2") for v in (r, o))
+                shared.append(passages.REACH + next((j for j in range(passages.BEYOND) if x[j] != y[j]), passages.BEYOND))
+        kept = [w for j, w in enumerate(r[6]) if r[5] + j + passages.MIN_WORDS <= r[2] + max(shared)]
+        if kept:
+            want[r[1]] = (r[5], kept)
+    edges = [f(rows, key=lambda r: (r[3], r[4], r[0], r[2])) for f in (min, max)]  # without a neighbour on one side: whole
+    said = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 1)
+        for n in (2, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got = {r.id: (r.s, r.w) for r in passages._matched(df).collect()}
+            assert got == {**want, **{r[1]: (r[5], r[6]) for r in edges}}
+    finally:
+        for k, v in said.items():
+            spark.conf.set(k, v)
+    assert 0 < len(want) < len(rows)
+
+
 def test_passages_odd_tables(spark):
     got = passages.repeated_passages(odd(spark)).collect()
     assert len(got) == 10
