@@ -502,7 +502,11 @@ def crc64_hex(spark, d):
     return _hashed(spark, d, "crc64")
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, n, unnest(range(1, n + 1)) AS i, x FROM d),
+v AS (SELECT doc_id, n, i, CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT) AS c FROM b),
+s AS (SELECT doc_id, 1 + sum(c) AS a, any_value(n) + sum((n - i + 1) * c) AS b FROM v GROUP BY doc_id)
+SELECT d.doc_id, printf('%08x', CAST((coalesce(b, 0) % 65521) * 65536 + coalesce(a, 1) % 65521 AS BIGINT)) AS hash FROM d LEFT JOIN s USING (doc_id)""")
 def adler32_hex(spark, d):
     return _hashed(spark, d, "adler32")
 
@@ -522,29 +526,32 @@ def sha256_hex(spark, d):
     return _hashed(spark, d, "sha256")
 
 
-@query("SELECT doc_id, true AS gzip, true AS zlib, true AS flate, true AS stopped FROM documents")
+@query("SELECT doc_id, h AS gzip, h AS zlib, h AS flate, true AS stopped FROM (SELECT doc_id, sha256(coalesce(text, '') || '0123456789') AS h FROM documents)")
 def deflate_roundtrip(spark, d):
     """The deflate family comes back whole, and output over a bound is refused (X-41..X-44)."""
     x = F.concat(F.coalesce("text", F.lit("")), F.lit("0123456789")).cast("binary")
     rows = t.table(spark, d, "documents").select("doc_id", x.alias("x"))
     rows = rows.withColumns({"g": codecs.gzip_encode(F.col("x")), "z": codecs.zlib_encode(F.col("x")), "f": codecs.flate_encode(F.col("x"))})
-    return rows.select("doc_id", (codecs.gzip_decode(F.col("g")) == F.col("x")).alias("gzip"), (codecs.zlib_decode(F.col("z")) == F.col("x")).alias("zlib"), (codecs.flate_decode(F.col("f")) == F.col("x")).alias("flate"), codecs.flate_decode(F.col("f"), 5).isNull().alias("stopped"))
+    return rows.select("doc_id", F.sha2(codecs.gzip_decode(F.col("g")), 256).alias("gzip"), F.sha2(codecs.zlib_decode(F.col("z")), 256).alias("zlib"), F.sha2(codecs.flate_decode(F.col("f")), 256).alias("flate"), codecs.flate_decode(F.col("f"), 5).isNull().alias("stopped"))
 
 
-@query("SELECT event_id, true AS same FROM events")
+@query("SELECT event_id, event_type AS a, event_id AS b, value AS c0, -1.5::DOUBLE AS c1, user_id AS d FROM events")
 def cbor_roundtrip(spark, d):
     """JSON to CBOR and back (X-48, X-49)."""
     value = F.to_json(F.struct(F.col("event_type").alias("a"), F.col("event_id").alias("b"), F.array(F.col("value"), F.lit(-1.5)).alias("c"), F.col("user_id").alias("d")))
     rows = t.table(spark, d, "events").select("event_id", value.alias("j"))
     back = codecs.cbor_to_json(codecs.cbor_from_json(F.col("j")))
-    return rows.select("event_id", (F.from_json(back, "a string, b long, c array<double>, d long") == F.from_json("j", "a string, b long, c array<double>, d long")).alias("same"))
+    v = F.from_json(back, "a string, b long, c array<double>, d long")
+    return rows.select("event_id", v.alias("v")).select("event_id", "v.a", "v.b", F.col("v.c")[0].alias("c0"), F.col("v.c")[1].alias("c1"), "v.d")
 
 
-@query("SELECT doc_id, coalesce(text, '') = coalesce(text, '') AS same FROM (SELECT min(doc_id) AS doc_id, any_value(text) AS text FROM documents GROUP BY sha256(coalesce(text, '')))")
+@query("SELECT min(doc_id) AS doc_id, sha256(coalesce(text, '')) AS back, CAST(count(*) AS BIGINT) AS copies FROM documents GROUP BY sha256(coalesce(text, ''))")
 def chunk_split_join(spark, d):
     rows = t.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
-    rows = rows.groupBy(F.sha2("content", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.first("content").alias("content"))
-    return chunks.round_trip(rows.select("digest", "content"), 512).join(rows.select("digest", "doc_id"), "digest").select("doc_id", "same")
+    rows = rows.groupBy(F.sha2("content", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.first("content").alias("content"), F.count("*").alias("copies"))
+    back = chunks.join(chunks.split(rows.select("digest", "content"), 512)).select("digest", F.col("content").alias("_c"))
+    back = rows.select("digest", "doc_id", "copies").join(back, "digest", "left")
+    return back.select("doc_id", F.sha2(F.coalesce("_c", F.lit(b"")), 256).alias("back"), "copies")
 
 
 @query(f"WITH {t.DOCUMENTS} SELECT doc_id, CAST((size + 999) // 1000 AS BIGINT) AS chunks, CAST(1 AS BIGINT) AS whole FROM docs")
@@ -633,8 +640,12 @@ def pack_assignment(spark, d):
     return chunks.assign_packs(rows, 65536, 10_000, "shard").select("shard", "seq", "pack", "off")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id AS u, event_id AS i, event_type AS x, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS p FROM events),
+h AS (SELECT e.u, e.i, any_value(e.p) AS p, count(DISTINCT o.x) AS between_them FROM e LEFT JOIN e o ON o.u = e.u AND o.i > e.p AND o.i < e.i GROUP BY e.u, e.i),
+c AS (SELECT count(*) FILTER (p IS NOT NULL AND between_them < 2) AS hits, count(*) AS n FROM h)
+SELECT hits, n - hits AS misses, hits / n AS rate FROM c""")
 def lru_cache_hits(spark, d):
+    """An access hits a cache of two if fewer than two other values came since the last of its own."""
     rows = t.table(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("step"), F.col("event_type").alias("digest"))
     return caches.cache_stats(caches.lru_hits(rows, 2))
 
