@@ -492,7 +492,18 @@ def _hashed(spark, d, algorithm: str) -> DataFrame:
     return t.table(spark, d, "documents").select("doc_id", dg.to_text(hashing.digest(algorithm, F.coalesce("text", F.lit("")).cast("binary"))).alias("hash"))
 
 
-@query()
+def _crc_sql(kind: str, polynomial: int, ones: int, digits: int) -> str:
+    """A reflected CRC of each document, by a table of a byte's remainders."""
+    return f"""WITH RECURSIVE k(n, c, s) AS (
+  SELECT CAST(i AS {kind}), CAST(i AS {kind}), 0 FROM range(256) r(i)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, {polynomial}::{kind}) ELSE c >> 1 END, s + 1 FROM k WHERE s < 8),
+tab AS (SELECT list(c ORDER BY n) AS t FROM k WHERE s = 8),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS {kind})) AS v FROM d)
+SELECT doc_id, lpad(lower(to_hex(xor(list_reduce(list_prepend({ones}::{kind}, v), lambda a, y: xor(a >> 8, t[CAST(xor(a, y) & 255 AS BIGINT) + 1])), {ones}::{kind}))), {digits}, '0') AS hash FROM b, tab"""
+
+
+@query(_crc_sql("UINTEGER", 0xEDB88320, 2**32 - 1, 8))
 def crc32_hex(spark, d):
     return _hashed(spark, d, "crc32")
 
