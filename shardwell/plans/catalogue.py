@@ -508,7 +508,7 @@ def crc32_hex(spark, d):
     return _hashed(spark, d, "crc32")
 
 
-@query()
+@query(_crc_sql("UBIGINT", hashing.CRC64_POLY, 2**64 - 1, 16))
 def crc64_hex(spark, d):
     return _hashed(spark, d, "crc64")
 
