@@ -8,9 +8,10 @@ are also keyed by each.  Candidates are texts with a common key whose sketches (
 the similarity; they are verified by banded alignment: the edit distance in words, computed within the band that the similarity allows.
 
 A key's texts are not paired with one another.  Each is aligned with the key's least text, so with as many texts as it has keys; where that
-fails for some, small groups are paired fully.  Texts of larger ones are looked at again without what is common to so many: of the least
-k-mers of each, those that few of these texts hold are keys, whose groups are small.  Texts already known to be connected are not aligned
-again.
+fails for some, small groups are paired fully.  Texts of larger ones are looked at again without what is common to so many, by prefixes: in one
+order of the words, rare ones first, texts of that similarity share one of their first words, a fifth of each text's and one more.  These
+words are keys, however many texts hold them, so no similar pair among these texts is without a common key.  Texts already known to be
+connected are not aligned again.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ K, SAMPLES, TOP, SHORT = 5, 4, 5, 30
 SKETCH, DIFFER = 16, 12
 #: The first pass takes one key in so many, and only aligns with the least text of each; the second takes all keys of what is left apart.
 FIRST = 4
-#: Texts of a key that are paired fully where the star failed, and k-mers of a text in a larger group that are counted.
-SMALL, LEAST = 40, 64
+#: Texts of a key that are paired fully where the star failed; texts of larger ones are keyed again by their prefixes.
+SMALL = 40
+#: Classes that words are counted in for their order, and texts of a prefix word that one task pairs; more are paired block by block.
+COUNTED, BLOCK = 1 << 16, 1000
 #: Print counts of each round, for tuning.
 PROGRESS = False
 
@@ -83,17 +86,29 @@ def keys_of(words: np.ndarray) -> list[int]:
     return np.unique(keys.astype(np.int64)).tolist()
 
 
-def least_kmers(words: np.ndarray) -> list[int]:
-    """The ``LEAST`` k-mers of least hash, signed and distinct."""
-    x = np.unique(mix(kmers(words) * _ODD[0, 0] + _ODD[0, 1]))
-    return x[:LEAST].astype(np.int64).tolist()
+def word_items(words: np.ndarray) -> np.ndarray:
+    """Hashes of the occurrence-labelled words."""
+    return labelled(mix(words.astype(np.uint64) + np.uint64(1)))
+
+
+def prefix(words: np.ndarray, held: np.ndarray, least: float) -> list[int]:
+    """The labelled words that come first in the order of (texts that hold the word's class, hash), signed.
+
+    A text of n words shares all but ``most`` (the edits allowed) with a text of edit similarity ``least`` that is no longer, and
+    with a longer one more than that.  So the first common word of two such texts is among the first ``most + 1`` of each.
+    """
+    h = word_items(words)
+    if not len(h):
+        return []
+    most = int((1 - least) * len(h) + 1e-9)
+    return h[np.lexsort((h, held[h % np.uint64(COUNTED)]))[: most + 1]].astype(np.int64).tolist()
 
 
 def sketch(words: np.ndarray) -> int:
     """Four bits of the least hash of the labelled words by each of ``SKETCH`` functions, in one signed 64-bit number."""
     if not len(words):
         return 0
-    w = labelled(mix(words.astype(np.uint64) + np.uint64(1)))
+    w = word_items(words)
     out = np.full(SKETCH, 2**64 - 1, dtype=np.uint64)
     for lo in range(0, len(w), 10_000):
         out = np.minimum(out, mix(w[None, lo : lo + 10_000] * _ODD[SAMPLES:, :1] + _ODD[SAMPLES:, 1:]).min(axis=1))
@@ -276,18 +291,39 @@ def _aligned(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
 
 
-def _with_least(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """``rows`` (node, n, sketch, root) with a row for each of their least k-mers, as ``key``."""
-    both = words.select("node", "words").join(rows.hint("merge"), "node").select("node", "n", "sketch", "root", "words")
+def _held(rows: DataFrame) -> np.ndarray:
+    """How often ``rows`` (words) hold a labelled word of each class: ``COUNTED`` numbers, however many rows there are."""
 
     def run(batches):
         import pyarrow as pa
 
+        out = np.zeros(COUNTED, dtype=np.int64)
         for batch in batches:
-            found = [least_kmers(np.frombuffer(zlib.decompress(x.as_py()), "<u4")) for x in batch.column(4)]
+            for x in batch.column(0):
+                h = word_items(np.frombuffer(zlib.decompress(x.as_py()), "<u4"))
+                out += np.bincount((h % np.uint64(COUNTED)).astype(np.int64), minlength=COUNTED)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["c", "k"])
+
+    held = np.zeros(COUNTED, dtype=np.int64)
+    for r in rows.select("words").mapInArrow(run, "c long, k long").groupBy("c").agg(F.sum("k").alias("k")).collect():  # at most COUNTED
+        held[r.c] = r.k
+    return held
+
+
+def _with_prefix(rows: DataFrame, least: float) -> DataFrame:
+    """``rows`` (node, n, sketch, root, words) with a row for each word of their prefixes, as ``key``."""
+    held = rows.sparkSession.sparkContext.broadcast(_held(rows))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [prefix(np.frombuffer(zlib.decompress(x.as_py()), "<u4"), held.value, least) for x in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "sketch", "root", "keys"])
 
-    return both.mapInArrow(run, "node binary, n int, sketch long, root binary, keys array<long>").select("node", "n", "sketch", "root", F.explode("keys").alias("key"))
+    some = rows.select("node", "n", "sketch", "root", "words")
+    return some.mapInArrow(run, "node binary, n int, sketch long, root binary, keys array<long>").select("node", "n", "sketch", "root", F.explode("keys").alias("key"))
 
 
 def links(rows: DataFrame, nodes: DataFrame, least: float = 0.8) -> DataFrame:
@@ -320,6 +356,14 @@ def links(rows: DataFrame, nodes: DataFrame, least: float = 0.8) -> DataFrame:
         other = rows.select("key", *pair, F.col("root").alias("rb"))
         return one.join(other, "key").filter("a < b and root <> rb")
 
+    def pairs_in_blocks(rows: DataFrame) -> DataFrame:
+        """As ``pairs_of``, for groups of more than ``BLOCK`` rows: they are dealt to blocks, and each two blocks meet in a task of their own."""
+        blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
+        rows = rows.withColumn("_x", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_y", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        one = rows.filter("_x <= _y").select("key", "_x", "_y", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), "root")
+        other = rows.filter("_y <= _x").select("key", F.col("_y").alias("_x"), F.col("_x").alias("_y"), *pair, F.col("root").alias("rb"))
+        return one.join(other, ["key", "_x", "_y"]).filter("root <> rb and (_x < _y or a < b)").drop("_x", "_y")
+
     pair = (F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     roots: DataFrame | None = None
     for first in (True, False):
@@ -344,14 +388,21 @@ def links(rows: DataFrame, nodes: DataFrame, least: float = 0.8) -> DataFrame:
         apart = rows.filter("root <> ra").join(good.select(F.col("a").alias("a_"), F.col("b").alias("b_")), hit, "left_anti").select("key").distinct()
         rows = cut(rows.join(apart, "key", "left_semi"), "near-apart")
         test(pairs_of(rows.filter(F.col("k") <= SMALL)))
-        large = cut(rows.filter(F.col("k") > SMALL).select("node", "n", "sketch", "root").distinct(), "near-large")
+        large = cut(rows.filter(F.col("k") > SMALL).select("key", "node", "n", "sketch", "root"), "near-large")
         if not large.isEmpty():
-            each = cut(_with_least(large, words), "near-least")
-            few = each.groupBy("key").agg(F.count("*").alias("k")).filter((F.col("k") > 1) & (F.col("k") <= SMALL)).select("key")
-            rows = each.join(few, "key")
+            # what the second pass has connected by now is left out
+            now = cut(components(good), "near-roots") if not good.isEmpty() else none.toDF("node", "root")
+            large = large.drop("root").join(now, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            apart = large.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+            large = large.join(apart, "key", "left_semi").select("node", "n", "sketch", "root").distinct()
+            large = cut(words.select("node", "words").join(large.hint("merge"), "node"), "near-large")
+            each = cut(_with_prefix(large, least), "near-prefix")
+            shared = each.groupBy("key").agg(F.count("*").alias("k"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key", "k")
+            rows = cut(each.join(shared, "key"), "near-rest")
             if PROGRESS:
-                print("near-duplicates: texts in large groups", large.count(), "rows", rows.count(), flush=True)
-            test(pairs_of(rows))
+                print("near-duplicates: texts in large groups", large.count(), "rows", rows.count(), "most", shared.agg(F.max("k"), F.sum(F.col("k") * F.col("k"))).first(), flush=True)
+            found, most = pairs_of(rows.filter(F.col("k") <= BLOCK)), rows.agg(F.max("k")).first()[0] or 0
+            test(found if most <= BLOCK else found.unionByName(pairs_in_blocks(rows.filter(F.col("k") > BLOCK))))
     if PROGRESS:
         print("near-duplicates: aligned", tested.count(), "links", good.count(), flush=True)
     return good

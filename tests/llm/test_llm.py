@@ -520,6 +520,46 @@ def test_near_copies_among_pages_of_one_template(spark):
     assert sum(got[2 * i + 1] == 2 * i for i in range(120)) >= 117 and all(got[2 * i] == 2 * i for i in range(120))
 
 
+def test_prefixes_of_similar_texts_meet():
+    rng = random.Random(23)
+    for _ in range(300):
+        base = [rng.randint(0, 60) for _ in range(rng.choice((1, 4, 9, 40, 150)))]
+        a, b = (np.array(t, dtype="<u4") for t in (base, edited(rng, base, rng.choice((0.1, 0.2)), lambda: rng.randint(0, 60))))
+        held = np.array([rng.randint(0, 9) for _ in range(neardup.COUNTED)])
+        if len(b) and neardup.similar(a, b, 0.8):
+            assert set(neardup.prefix(a, held, 0.8)) & set(neardup.prefix(b, held, 0.8))
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK, 30])
+def test_near_copies_without_a_rare_phrase_are_found(spark, monkeypatch, block):
+    """Each text takes one of three phrases for each place, so more texts than are paired fully hold every k-mer of any text."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(24)
+    phrases = [[[f"p{i}v{v}w{k}" for k in range(12)] for v in range(3)] for i in range(20)]
+    picks = []
+    for _ in range(500):
+        own = [rng.randrange(3) for _ in range(20)]
+        near = list(own)
+        for i in rng.sample(range(20), 4):
+            near[i] = (near[i] + 1) % 3
+        picks += [own, near]
+    rows = [(i, " ".join(w for j, v in enumerate(p) for w in phrases[j][v])) for i, p in enumerate(picks)]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    x = np.array(picks)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in np.flatnonzero((x[i + 1 :] == x[i]).sum(axis=1) >= 16) + i + 1:  # similarity of 16 places in 20
+            lo, hi = sorted((find(i), find(int(j))))
+            root[hi] = lo
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
 def test_near_duplicates_are_the_brute_force_classes(spark):
     rng = random.Random(5)
     rows, i = [], 0
