@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shardwell.sources.scratch import cut, cut_by, release, written
 
-__all__ = ["WORD", "cut", "cut_by", "fold", "map_texts", "mix", "n_words", "release", "table", "word_hashes", "written"]
+__all__ = ["WORD", "cut", "cut_by", "fold", "map_texts", "mix", "n_words", "release", "table", "trim", "word_hashes", "written"]
 
 #: Words of a text: runs of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +55,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def trim() -> None:
+    """Hand a worker's freed memory back: it waits for later tasks and would hold it beside the JVM's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def map_texts(df: DataFrame, keep: list, text, setup: Callable[[], Callable[[list], tuple[list[int], list[list]]]], fields: str, rows: int = 64) -> DataFrame:
     """Run Python over whole texts.
 
@@ -72,7 +85,7 @@ def map_texts(df: DataFrame, keep: list, text, setup: Callable[[], Callable[[lis
     def run(batches):
         import pyarrow as pa
 
-        make = setup()
+        make, batch, part, columns, kept = setup(), None, None, None, None
         to = to_arrow_schema(schema)
         for batch in batches:
             for lo in range(0, batch.num_rows, rows):
@@ -83,5 +96,7 @@ def map_texts(df: DataFrame, keep: list, text, setup: Callable[[], Callable[[lis
                     yield pa.RecordBatch.from_arrays(
                         [*(k.cast(f.type) for k, f in zip(kept, to)), *(pa.array(c, f.type) for c, f in zip(columns, list(to)[len(kept) :]))], schema=to
                     )
+        del make, batch, part, columns, kept
+        trim()
 
     return src.mapInArrow(run, schema).toDF(*names, *extra.names)

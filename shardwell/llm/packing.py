@@ -9,7 +9,6 @@ piece its rank and look its place up.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -17,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwell.llm._common import cut
+from shardwell.llm._common import cut, trim
 
 #: Pieces of one length that are ranked in one window group.
 GROUP = 1000
@@ -27,6 +26,8 @@ PARTS, KEPT = 600_000, 100_000
 TOGETHER = 8_000_000
 
 
+#: ASCII signs and digits, which the tokenizer cuts from letters.
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalpha())
 #: Of a worker: tokenizer and encoded parts by the path of the vocabulary.
 _kept: dict[str, tuple] = {}
 
@@ -48,9 +49,9 @@ def encoder(path: str):
     """Function from an Arrow array of texts to (ids of all, where each text's ids start and the last ones end).
 
     The tokenizer lowers case, drops white space and never joins what it separates, and it cuts between letters and ASCII signs.  So a
-    text's ids are those of its words in turn, and a word's are those of its letters and of the signs after them.  Arrow splits the texts
-    and numbers the distinct words; each distinct part is encoded once while it stays in the cache, many in one call with the end token,
-    which stands for itself, between; the words' ids are then put in the order of the texts.
+    text's ids are those of its words in turn, and a word's are those of its letters and of the signs and digits after them.  Arrow splits
+    the texts and numbers the distinct words; each distinct part is encoded once while it stays in the cache, many in one call with a token
+    that stands for itself between (a digit, where all are letters, else the end token); the words' ids are then put in the order of the texts.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -63,29 +64,55 @@ def encoder(path: str):
     tok, parts = _kept[path]
     forget(parts, KEPT)
     mark, mark_id = "<|endoftext|>", tok.token_to_id("<|endoftext|>")
-    signs = re.compile(r"([^\W\d_]+)([!-@\[-`{-~][ -~]*)")
+
+    zero = tok.token_to_id("0")
+    letters_end = zero is not None and tok.encode("a0b", add_special_tokens=False).ids == [tok.token_to_id(c) for c in "a0b"]
 
     def learn(new: list[str]) -> None:
-        plain = [p for p in new if "<|" not in p]
-        batch = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        for some, e in zip(batch, tok.encode_batch_fast([mark.join(b) for b in batch], add_special_tokens=False)):
-            ids = np.array(e.ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == mark_id) * 4
-            raw = ids.tobytes()
-            for p, lo, hi in zip(some, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]):
-                parts[p] = raw[lo:hi]
+        # a digit is a token of its own between letters, and quicker to find than the end token
+        letters = [p for p in new if p.isalpha()] if letters_end else []
+        plain = [p for p in new if "<|" not in p and not (letters_end and p.isalpha())]
+        for all_, between, between_id in ((letters, "0", zero), (plain, mark, mark_id)):
+            batch = [all_[i : i + 200] for i in range(0, len(all_), 200)]
+            for some, e in zip(batch, tok.encode_batch_fast([between.join(b) for b in batch], add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                cuts = np.flatnonzero(ids == between_id) * 4
+                assert len(cuts) == len(some) - 1
+                raw = ids.tobytes()
+                for p, lo, hi in zip(some, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]):
+                    parts[p] = raw[lo:hi]
         for p in new:
             if "<|" in p:
                 parts[p] = np.array(tok.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def ids_of(words: list[str]) -> list[bytes]:
+    def known(some) -> list[bytes]:
+        """Ids of each of these distinct parts, an Arrow array."""
         if len(parts) > PARTS:
             forget(parts, PARTS // 2)
-        split = [m.groups() if (m := signs.fullmatch(w)) and "<|" not in w else (w,) for w in words]
-        new = {p for ps in split for p in ps if p not in parts}
+        some = some.to_pylist()
+        out = list(map(parts.get, some))
+        new = [p for p, x in zip(some, out) if x is None]
         if new:
-            learn(list(new))
-        return [parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]] for ps in split]
+            learn(new)
+            out = list(map(parts.__getitem__, some))
+        return out
+
+    def ids_of(words):
+        """Ids of each word as bytes, an Arrow array: those of its letters and of the signs at its end, if it has no more than these."""
+        heads = pc.ascii_rtrim(words, SIGNS)
+        # the small letter of U+0130 ends in a mark, which belongs to a sign after it
+        cuts = pc.and_(pc.utf8_is_alpha(heads), pc.invert(pc.match_substring_regex(words, "<\\||\u0130")))
+        heads = pc.if_else(cuts, heads, words)
+        length = (pc.binary_length(words).to_numpy() - pc.binary_length(heads).to_numpy()).astype(np.int64)
+        coded = heads.dictionary_encode()
+        out = pa.array(known(coded.dictionary), pa.large_binary()).take(coded.indices)
+        ends, of = [b""], np.zeros(len(words), dtype=np.int64)
+        for k in np.unique(length[length > 0]).tolist():
+            at = np.flatnonzero(length == k)
+            coded = pc.utf8_slice_codeunits(words.take(pa.array(at)), -k).dictionary_encode()
+            of[at] = len(ends) + coded.indices.to_numpy(zero_copy_only=False)
+            ends += known(coded.dictionary)
+        return pc.binary_join_element_wise(out, pa.array(ends, pa.large_binary()).take(pa.array(of)), pa.scalar(b"", pa.large_binary()))
 
     def encode(texts) -> tuple[np.ndarray, np.ndarray]:
         # taken, not sliced: Arrow's lower case reads a slice's offsets wrongly
@@ -96,15 +123,10 @@ def encoder(path: str):
             texts = pc.replace_substring(texts, c, " ")
         split = pc.split_pattern(texts, " ")
         coded = split.flatten().dictionary_encode()
-        each = ids_of(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        flat = np.frombuffer(b"".join(each), "<u4")
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        n = size[codes]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat((np.cumsum(size) - size)[codes] - upto[:-1], n) + np.arange(upto[-1])
+        flat = ids_of(coded.dictionary).take(coded.indices)  # Arrow puts the words' ids in a row
+        upto = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1) // 4
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
-        return flat[at], upto[bounds]
+        return np.frombuffer(flat.buffers()[2] or b"", "<u4")[: upto[-1]], upto[bounds]
 
     return encode
 
@@ -121,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
         import pyarrow.compute as pc
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encode = encoder(tokenizer)
+        encode, end = encoder(tokenizer), np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
             size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             lo = 0
@@ -131,15 +153,21 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                 ids, bounds = encode(part.column(1))
                 at: list[int] = []
                 out: list[list] = [[] for _ in names[1:]]
-                for i in range(part.num_rows):
-                    own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id))
-                    for n, start in enumerate(range(0, len(own), capacity)):
-                        some = own[start : start + capacity]
+                for i, (first, last) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    total = last - first + 1  # with the end
+                    for n, start in enumerate(range(0, total, capacity)):
+                        some, ends = ids[first + start : min(first + start + capacity, last)], start + capacity >= total
                         at.append(i)
-                        for column, v in zip(out, (n, start, len(some), zlib.crc32(some), some.astype(np.int32))):
+                        crc = zlib.crc32(some)
+                        for column, v in zip(out, (n, start, len(some) + ends, zlib.crc32(end, crc) if ends else crc)):
                             column.append(v)
+                        if keep_ids:
+                            out[4].append(np.append(some, np.uint32(end_id)) if ends else some)
                 types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(out, types))], names=names)
+        batch = part = ids = bounds = some = None
+        forget(_kept[tokenizer][1], KEPT)
+        trim()
 
     fields = f"_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, fields)
