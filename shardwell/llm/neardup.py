@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwell.llm._common import cut, cut_by, map_texts, mix, word_hashes
+from shardwell.llm._common import cut, cut_by, map_texts, mix, trim, word_hashes
 from shardwell.llm._graph import components
 
 #: Words of a k-mer, hash functions, k-mers that each picks, and k-mers of a text that is keyed by each of them too.
@@ -287,6 +287,8 @@ def _aligned(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
                 ok.append(similar(x, y, least))
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        batch = x = y = None
+        trim()
 
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
 

@@ -136,6 +136,20 @@ def test_encoder_is_the_tokenizer(texts):
     assert (part == ids[bounds[17] : bounds[57]]).all() and (cuts == bounds[17:58] - bounds[17]).all()
 
 
+def test_encoder_cuts_words_as_the_tokenizer():
+    """Letters, signs, digits, marks, special tokens and letters whose small form ends in a mark, in any order."""
+    import pyarrow as pa
+    import tokenizers
+
+    rng = random.Random(25)
+    tok = tokenizers.Tokenizer.from_file(packing.word_bpe())
+    letters = "abzAZ09 ,.'-<|>_[]~éßİΣςK漢각²½ªʰ\u0301ǅ😀\t\n"
+    some = ["".join(rng.choice(letters) for _ in range(rng.randrange(20))) for _ in range(3000)] + ["İ, x", "<|endoftext|> a<|endoftext|>B", "it's we'll", "a0b 10c2", None]
+    ids, bounds = packing.encoder(packing.word_bpe())(pa.array(some))
+    for t, lo, hi in zip(some, bounds, bounds[1:]):
+        assert ids[lo:hi].tolist() == tok.encode(t or "", add_special_tokens=False).ids, t
+
+
 def check_packing(rows, capacity):
     by = defaultdict(list)
     for r in rows:
@@ -520,6 +534,30 @@ def test_near_copies_among_pages_of_one_template(spark):
     assert sum(got[2 * i + 1] == 2 * i for i in range(120)) >= 117 and all(got[2 * i] == 2 * i for i in range(120))
 
 
+def test_a_worker_gives_freed_memory_back(spark):
+    """After a task over large texts its worker holds little more than before."""
+    from shardwell.llm._common import map_texts
+
+    def held(rows):
+        import re
+
+        return int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1])
+
+    def setup():
+        kept = []
+
+        def make(rows):
+            kept.extend(f"{i}" * 20 for i in range(2_000_000 // len(rows)))
+            return [0], [[held(rows)]]
+
+        return make
+
+    small = lambda: (lambda rows: ([0], [[held(rows)]]))
+    one = spark.createDataFrame([("t",)], "t string").coalesce(1)
+    peak = map_texts(one, [], F.col("t"), setup, "kb long").first().kb
+    assert map_texts(one, [], F.col("t"), small, "kb long").first().kb < peak - 100_000
+
+
 def test_prefixes_of_similar_texts_meet():
     rng = random.Random(23)
     for _ in range(300):

@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from shardwell.llm import neardup
 from shardwell.llm._common import cut
 from tests.llm.test_llm import brute, check_packing, edit
 
@@ -108,6 +109,21 @@ def test_stages_on_odd_tables(spark, corpus):
             before = after
 
 
+def test_near_copies_in_large_groups_go(spark, corpus, monkeypatch):
+    """Every k-mer is in more texts than are paired fully; of each two near copies one goes."""
+    base, *_ = corpus
+    monkeypatch.setattr(neardup, "SMALL", 1)
+    rng = random.Random(26)
+    rows = []
+    for i in range(40):
+        own = [rng.randrange(3) for _ in range(20)]
+        for j in range(2):
+            rows.append((2 * i + j, " ".join(f"p{k}v{v}w{n}" for k, v in enumerate(own) for n in range(12))))
+            own[rng.randrange(20)] += 3
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, base).collect()) == list(range(0, 80, 2))
+
+
 def test_a_lazy_result_can_be_handed_on(spark, corpus):
     """A stage's result that isn't written yet still finds the tables that it reads."""
     base, *_ = corpus
