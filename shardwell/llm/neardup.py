@@ -8,10 +8,11 @@ are also keyed by each.  Candidates are texts with a common key whose sketches (
 the similarity; they are verified by banded alignment: the edit distance in words, computed within the band that the similarity allows.
 
 A key's texts are not paired with one another.  Each is aligned with the key's least text, so with as many texts as it has keys; where that
-fails for some, small groups are paired fully.  Texts of larger ones are looked at again without what is common to so many, by prefixes: in one
-order of the words, rare ones first, texts of that similarity share one of their first words, a fifth of each text's and one more.  These
-words are keys, however many texts hold them, so no similar pair among these texts is without a common key.  Texts already known to be
-connected are not aligned again.
+fails for some, small groups are paired fully.  Texts of larger ones are looked at again without what is common to so many.  First those go that
+can't be near any text of another class so far: of n words, n - 2 - 2 * (a fifth of n) pairs of neighbouring words at least are in such texts
+otherwise.  The rest meet by prefixes: in one order of the words, rare ones first, texts of that similarity share one of their first words, a
+fifth of each text's and one more.  These words are keys, however many texts hold them, so no similar pair among these texts is without a
+common key; two texts meet at the first of them, not at each.  Texts already known to be connected are not aligned again.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ FIRST = 4
 SMALL = 40
 #: Classes that words are counted in for their order, and texts of a prefix word that one task pairs; more are paired block by block.
 COUNTED, BLOCK = 1 << 16, 1000
+#: Words of a block of texts whose items are dealt to shards together.
+WORDS = 200_000
+#: Words before a prefix word by which a pair is known to have met already.
+EARLY = 32
 #: Print counts of each round, for tuning.
 PROGRESS = False
 
@@ -313,8 +318,103 @@ def _held(rows: DataFrame) -> np.ndarray:
     return held
 
 
+def _dealt(rows: DataFrame, items_of, name: str) -> DataFrame:
+    """Hashes that ``items_of`` finds in the third column of ``rows`` (node, root, ...), dealt to shards: a row a block of texts and shard.
+
+    ``items`` are the shard's, ``at`` their texts' numbers in the block, ``nodes``, ``roots`` and ``sizes`` (items in all) the block's texts.
+    """
+    shards = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lo = 0
+            while lo < batch.num_rows:
+                found, hi, total = [], lo, 0
+                while hi < batch.num_rows and total < WORDS:
+                    found.append(items_of(batch.column(2)[hi]))
+                    hi, total = hi + 1, total + len(found[-1])
+                items, sizes = np.concatenate(found), np.array([len(x) for x in found], dtype="<u4")
+                at = np.repeat(np.arange(hi - lo, dtype="<u4"), sizes)
+                shard = (mix(items) >> np.uint64(32)) % np.uint64(shards)
+                nodes, roots = (b"".join(batch.column(c).slice(lo, hi - lo).to_pylist()) for c in (0, 1))
+                own = [(k, items[here].tobytes(), at[here].tobytes()) for k in range(shards) for here in [np.flatnonzero(shard == k)]]
+                k, x, y = zip(*own)
+                yield pa.RecordBatch.from_pydict(
+                    {"shard": pa.array(k, pa.int32()), "items": x, "at": y, "block": [nodes[:16]] * shards, "nodes": [nodes] * shards, "roots": [roots] * shards, "sizes": [sizes.tobytes()] * shards}
+                )
+                lo = hi
+        batch = found = items = at = shard = own = x = y = None
+        trim()
+
+    packed = rows.mapInArrow(run, "shard int, items binary, at binary, block binary, nodes binary, roots binary, sizes binary")
+    return cut(packed, name)
+
+
+def _elsewhere(part) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Items of a shard, their texts' numbers in the shard, where each block's texts begin, and which items texts of several roots hold."""
+    counts = np.array([len(x.as_py()) // 16 for x in part["nodes"]], dtype=np.int64)
+    first = np.cumsum(counts) - counts
+    items = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in part["items"]])
+    at = np.concatenate([np.frombuffer(x.as_py(), "<u4") + lo for x, lo in zip(part["at"], first)])
+    halves = np.frombuffer(b"".join(part["roots"].to_pylist()), "<u8").reshape(-1, 2)
+    root = mix(mix(halves[:, 0]) + halves[:, 1])[at]
+    several = np.zeros(len(items), dtype=bool)
+    if not len(items):
+        return items, at, first, several
+    order = np.lexsort((root, items))
+    starts = np.flatnonzero(np.diff(items[order], prepend=~items[order[:1]]))
+    ends = np.append(starts[1:], len(items)) - 1
+    several[order] = np.repeat(root[order[starts]] != root[order[ends]], ends - starts + 1)
+    return items, at, first, several
+
+
+def word_pairs(words: np.ndarray) -> np.ndarray:
+    """Hashes of the occurrence-labelled pairs of neighbouring words."""
+    w = words.astype(np.uint64) + np.uint64(1)
+    return labelled(mix(w[:-1] * _POW[0] + w[1:] * _POW[1]))
+
+
+def kept_pairs(pairs: np.ndarray, least: float) -> np.ndarray:
+    """Of so many word pairs, how many at least a text shares with any text of edit similarity ``least``.
+
+    A word replaced or left out ends two pairs, one put in ends one, so texts of n and m >= n words lose 2 * most(m) - (m - n) at most, which is
+    2 * most(n) + 1 at most if half the words or more agree.
+    """
+    if least < 0.5:
+        return np.zeros_like(pairs)
+    return np.maximum(pairs - 2 * ((1 - least) * (pairs + 1) + 1e-9).astype(np.int64) - 1, 0)
+
+
+def _may_meet(rows: DataFrame, least: float) -> DataFrame:
+    """``node`` of the ``rows`` (node, root, words) that share word pairs enough with texts of other roots, taken together."""
+
+    def count(part):
+        import pyarrow as pa
+
+        _, at, first, several = _elsewhere(part)
+        held = np.bincount(at[several], minlength=sum(len(x.as_py()) // 16 for x in part["nodes"])).astype("<u4")
+        return pa.table({"block": part["block"], "nodes": part["nodes"], "sizes": part["sizes"], "held": [x.tobytes() for x in np.split(held, first[1:])]})
+
+    def keep(part):
+        import pyarrow as pa
+
+        held = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in part["held"])
+        pairs = np.frombuffer(part["sizes"][0].as_py(), "<u4").astype(np.int64)
+        nodes = part["nodes"][0].as_py()
+        return pa.table({"node": pa.array([nodes[16 * i : 16 * i + 16] for i in np.flatnonzero(held >= kept_pairs(pairs, least))], pa.binary())})
+
+    pairs = lambda x: word_pairs(np.frombuffer(zlib.decompress(x.as_py()), "<u4"))
+    counted = _dealt(rows.select("node", "root", "words"), pairs, "near-word-pairs").groupBy("shard").applyInArrow(count, "block binary, nodes binary, sizes binary, held binary")
+    return counted.groupBy("block").applyInArrow(keep, "node binary")
+
+
 def _with_prefix(rows: DataFrame, least: float) -> DataFrame:
-    """``rows`` (node, n, sketch, root, words) with a row for each word of their prefixes, as ``key``."""
+    """``rows`` (node, n, sketch, root, words) with a row for each word of their prefixes that texts of several roots have there, as ``key``.
+
+    ``early`` are the ``EARLY`` words before it in the prefix: two texts that have one in common meet there already.
+    """
     held = rows.sparkSession.sparkContext.broadcast(_held(rows))
 
     def run(batches):
@@ -324,8 +424,20 @@ def _with_prefix(rows: DataFrame, least: float) -> DataFrame:
             found = [prefix(np.frombuffer(zlib.decompress(x.as_py()), "<u4"), held.value, least) for x in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "sketch", "root", "keys"])
 
+    def meet(part):
+        import pyarrow as pa
+
+        items, at, _, several = _elsewhere(part)
+        nodes = b"".join(part["nodes"].to_pylist())
+        return pa.table({"key": pa.array(items[several].astype(np.int64)), "node": pa.array([nodes[16 * i : 16 * i + 16] for i in at[several].tolist()], pa.binary())})
+
     some = rows.select("node", "n", "sketch", "root", "words")
-    return some.mapInArrow(run, "node binary, n int, sketch long, root binary, keys array<long>").select("node", "n", "sketch", "root", F.explode("keys").alias("key"))
+    whole = cut(some.mapInArrow(run, "node binary, n int, sketch long, root binary, keys array<long>"), "near-prefix")
+    dealt = _dealt(whole.select("node", "root", "keys"), lambda x: x.values.to_numpy().astype(np.uint64), "near-prefix-words")
+    found = dealt.groupBy("shard").applyInArrow(meet, "key long, node binary").join(whole, "node")
+    at = F.array_position("keys", F.col("key")).cast("int")
+    early = F.slice("keys", F.greatest(at - EARLY, F.lit(1)), F.least(at - 1, F.lit(EARLY)))
+    return found.select("node", "n", "sketch", "root", "key", early.alias("early"))
 
 
 def links(rows: DataFrame, nodes: DataFrame, least: float = 0.8) -> DataFrame:
@@ -345,7 +457,6 @@ def links(rows: DataFrame, nodes: DataFrame, least: float = 0.8) -> DataFrame:
     def test(pairs: DataFrame) -> None:
         """Align the pairs not yet aligned whose lengths and sketches allow it."""
         nonlocal tested, good
-        ok = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - F.lit(1e-9)) & _near_sketches("sa", "sb")
         new = pairs.filter(ok).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         new = cut(new, "near-pairs")
         tested = tested.unionByName(new)
@@ -353,20 +464,23 @@ def links(rows: DataFrame, nodes: DataFrame, least: float = 0.8) -> DataFrame:
             good = good.unionByName(cut(_aligned(new, words, least), "near-good"))
 
     def pairs_of(rows: DataFrame) -> DataFrame:
-        """All pairs of each key's rows that aren't connected yet; groups are small."""
-        one = rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), "root")
-        other = rows.select("key", *pair, F.col("root").alias("rb"))
-        return one.join(other, "key").filter("a < b and root <> rb")
+        """All pairs of each key's rows that aren't connected yet, but for those that meet at a word of both rows' ``early``."""
+        rows = rows if "early" in rows.columns else rows.withColumn("early", F.lit(None).cast("array<long>"))
+        one = rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), "root", "early")
+        other = rows.select("key", *pair, F.col("root").alias("rb"), F.col("early").alias("eb"))
+        return one.join(other, "key").filter("a < b and root <> rb").filter(once)
 
     def pairs_in_blocks(rows: DataFrame) -> DataFrame:
         """As ``pairs_of``, for groups of more than ``BLOCK`` rows: they are dealt to blocks, and each two blocks meet in a task of their own."""
         blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
         rows = rows.withColumn("_x", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_y", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        one = rows.filter("_x <= _y").select("key", "_x", "_y", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), "root")
-        other = rows.filter("_y <= _x").select("key", F.col("_y").alias("_x"), F.col("_x").alias("_y"), *pair, F.col("root").alias("rb"))
-        return one.join(other, ["key", "_x", "_y"]).filter("root <> rb and (_x < _y or a < b)").drop("_x", "_y")
+        one = rows.filter("_x <= _y").select("key", "_x", "_y", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), "root", "early")
+        other = rows.filter("_y <= _x").select("key", F.col("_y").alias("_x"), F.col("_x").alias("_y"), *pair, F.col("root").alias("rb"), F.col("early").alias("eb"))
+        return one.join(other, ["key", "_x", "_y"]).filter("root <> rb and (_x < _y or a < b)").filter(once).drop("_x", "_y")
 
     pair = (F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    ok = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - F.lit(1e-9)) & _near_sketches("sa", "sb")
+    once = F.when((F.col("root") != F.col("rb")) & ok, ~F.coalesce(F.arrays_overlap("early", "eb"), F.lit(False))).otherwise(F.lit(False))
     roots: DataFrame | None = None
     for first in (True, False):
         rows = (members.filter(F.pmod("key", F.lit(FIRST)) == 0) if first else members).select("key", "node", "n", "sketch")
@@ -398,8 +512,9 @@ def links(rows: DataFrame, nodes: DataFrame, least: float = 0.8) -> DataFrame:
             apart = large.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
             large = large.join(apart, "key", "left_semi").select("node", "n", "sketch", "root").distinct()
             large = cut(words.select("node", "words").join(large.hint("merge"), "node"), "near-large")
+            large = cut(large.join(cut(_may_meet(large, least), "near-meet", True), "node", "left_semi"), "near-large")
             each = cut(_with_prefix(large, least), "near-prefix")
-            shared = each.groupBy("key").agg(F.count("*").alias("k"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key", "k")
+            shared = each.groupBy("key").agg(F.count("*").alias("k")).select("key", "k")
             rows = cut(each.join(shared, "key"), "near-rest")
             if PROGRESS:
                 print("near-duplicates: texts in large groups", large.count(), "rows", rows.count(), "most", shared.agg(F.max("k"), F.sum(F.col("k") * F.col("k"))).first(), flush=True)

@@ -568,6 +568,55 @@ def test_prefixes_of_similar_texts_meet():
             assert set(neardup.prefix(a, held, 0.8)) & set(neardup.prefix(b, held, 0.8))
 
 
+def test_similar_texts_share_pairs_of_words():
+    rng = random.Random(25)
+    seen = 0
+    for _ in range(400):
+        base = [rng.randint(0, 60) for _ in range(rng.choice((1, 2, 4, 5, 9, 40, 150)))]
+        a, b = (np.array(t, dtype="<u4") for t in (base, edited(rng, base, rng.choice((0.1, 0.2)), lambda: rng.randint(0, 60))))
+        if len(b) and neardup.similar(a, b, 0.8):
+            both = len(set(neardup.word_pairs(a).tolist()) & set(neardup.word_pairs(b).tolist()))
+            assert both >= neardup.kept_pairs(np.array([len(a) - 1, len(b) - 1]), 0.8).max()
+            seen += 1
+    assert seen > 100
+
+
+def prefix_rows(spark, texts):
+    """What the prefixes of texts (root, words) are found from."""
+    import zlib
+
+    rows = [(f"{i:016}".encode(), len(w), 0, f"{root:016}".encode(), zlib.compress(np.array(w, dtype="<u4").tobytes(), 1)) for i, (root, w) in enumerate(texts)]
+    return spark.createDataFrame(rows, "node binary, n int, sketch long, root binary, words binary").repartition(3)
+
+
+def test_connected_texts_make_no_prefix_rows(spark):
+    """However large their class is: only words that texts of another class hold make rows."""
+    rng = random.Random(26)
+    base = list(range(200))
+    copies = [edited(rng, base, 0.1, lambda: rng.randint(10**6, 10**9)) for _ in range(120)]
+    rows = prefix_rows(spark, [(0, w) for w in copies])
+    assert neardup._with_prefix(rows, 0.8).count() == 0 and neardup._may_meet(rows, 0.8).count() == 0
+    # a passage of theirs in 120 other texts changes nothing; a text that may be near does, with what it may be near to
+    others = [(1 + i, base[:60] + [rng.randint(10**6, 10**9) for _ in range(140)]) for i in range(120)]
+    assert neardup._may_meet(prefix_rows(spark, [(0, w) for w in copies] + others), 0.8).count() == 0
+    near = edited(rng, base, 0.1, lambda: rng.randint(10**6, 10**9))
+    got = {int(r.node) for r in neardup._may_meet(prefix_rows(spark, [(0, w) for w in copies] + others + [(500, near)]), 0.8).collect()}
+    for i, w in enumerate(copies):
+        assert i in got or not neardup.similar(np.array(w, dtype="<u4"), np.array(near, dtype="<u4"), 0.8)
+    assert 240 in got and not got & set(range(120, 240))
+
+
+def test_texts_meet_at_one_word_of_their_prefixes(spark):
+    rng = random.Random(27)
+    texts = [(i, edited(rng, list(range(100)), 0.08, lambda: rng.randint(10**6, 10**9))) for i in range(12)]
+    rows = neardup._with_prefix(prefix_rows(spark, texts), 0.8).collect()
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.key, []).append(r)
+    met = [(a.node, b.node) for same in by.values() for a in same for b in same if a.node < b.node and not set(a.early) & set(b.early)]
+    assert len(met) == len(set(met)) == 66 < sum(len(x) * (len(x) - 1) // 2 for x in by.values())
+
+
 @pytest.mark.parametrize("block", [neardup.BLOCK, 30])
 def test_near_copies_without_a_rare_phrase_are_found(spark, monkeypatch, block):
     """Each text takes one of three phrases for each place, so more texts than are paired fully hold every k-mer of any text."""
