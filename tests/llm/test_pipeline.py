@@ -134,3 +134,22 @@ def test_a_lazy_result_can_be_handed_on(spark, corpus):
 
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near-duplicates", "repeated passages", "mixing", "packing"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_look_again_only_at_texts_that_may_be_near_others(spark, monkeypatch):
+    """A passage in copies that are connected and in other texts makes a large group, of which no text is left to be paired by its words."""
+    rng = random.Random(28)
+    base, word = [f"b{i}" for i in range(200)], lambda: f"w{rng.randint(0, 10**9)}"
+    texts = []
+    for _ in range(100):
+        w = list(base)
+        for i in rng.sample(range(200), 8):
+            w[i] = word()
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:60] + [word() for _ in range(140)]) for _ in range(100)]
+    seen, found = [], neardup._with_prefix
+    monkeypatch.setattr(neardup, "_with_prefix", lambda rows, least: seen.append(rows.count()) or found(rows, least))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert kept == [0, *range(100, 200)]
+    assert seen == [0]
